@@ -7,9 +7,12 @@ that setting is absent (tests, a laptop) a local folder is made and set.
 
 from __future__ import annotations
 
+import io
 import json
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +42,22 @@ def materialise(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to all Python workers, once a session, wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_questlake_shipped", False):
+        return
+    packed = io.BytesIO()
+    with zipfile.PyZipFile(packed, "w") as archive:
+        archive.writepy(str(Path(__file__).parent))
+        for folder in sorted(p.parent for p in Path(__file__).parent.glob("*/__init__.py")):
+            archive.writepy(str(folder), basename=Path(__file__).parent.name)
+    folder = Folder(spark, new_folder(spark, "code"))
+    folder.write_bytes("questlake.zip", packed.getvalue())
+    context.addPyFile(f"{folder.path}/questlake.zip")
+    context._questlake_shipped = True
+
+
 class Folder:
     """Files of one folder through Hadoop's file system API, on any shared storage."""
 
@@ -69,9 +88,12 @@ class Folder:
             stream.close()
 
     def write_text(self, name: str, text: str) -> None:
+        self.write_bytes(name, text.encode())
+
+    def write_bytes(self, name: str, content: bytes) -> None:
         stream = self._fs.create(self._p(name), True)
         try:
-            stream.write(bytearray(text.encode()))
+            stream.write(bytearray(content))
         finally:
             stream.close()
 
