@@ -8,6 +8,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ SWITCH_BITS = 20.0
 CLOSE = 1.25
 #: Share of the evidence that a lone name keeps (names belong to no language).
 NAME_SHARE = 0.05
+#: Alphabets up to this size are parsed by tables, larger ones (Han) by dictionaries.
+SMALL_ALPHABET = 200
 #: Costs of pieces that a worker remembers.
 REMEMBERED = 100_000
 
@@ -113,6 +116,42 @@ class Automaton:
         return count + (state is not root)
 
 
+class DenseAutomaton:
+    """The same automaton as a table of states by letters, parsing many texts in step."""
+
+    def __init__(self, automaton: Automaton, code: dict[str, int], width: int):
+        numbers = {id(automaton.root): 0}
+        states, at = [automaton.root], 0
+        while at < len(states):
+            for then in states[at].values():
+                if id(then) not in numbers:
+                    numbers[id(then)] = len(states)
+                    states.append(then)
+            at += 1
+        self.follow = np.full((len(states), width), -1, np.int32)
+        for i, state in enumerate(states):
+            for c, then in state.items():
+                if c in code:
+                    self.follow[i, code[c]] = numbers[id(then)]
+
+    def phrases(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Phrases of each text; texts come longest first."""
+        n = len(lengths)
+        state, count = np.zeros(n, np.int32), np.zeros(n, np.int64)
+        for step in range(int(lengths[0]) if n else 0):
+            alive = int(np.searchsorted(-lengths, -step, side="left"))
+            c = codes[starts[:alive] + step]
+            now = state[:alive]
+            then = self.follow[now, c]
+            broken = np.flatnonzero(then < 0)
+            if len(broken):
+                fresh = self.follow[0, c[broken]]
+                count[broken] += (now[broken] != 0).astype(np.int64) + (fresh < 0)
+                then[broken] = np.maximum(fresh, 0)
+            state[:alive] = then
+        return count + (state != 0)
+
+
 @dataclass(frozen=True)
 class Segment:
     start: int
@@ -143,25 +182,50 @@ class Identifier:
         self.forward = [Automaton(forward[lang]) for lang in self.langs]
         self.backward = [Automaton(forward[lang][::-1]) for lang in self.langs]
         self.least = max(a.bits for a in self.forward)
+        letters = sorted(set().union(*(a.alphabet for a in self.forward if len(a.alphabet) < SMALL_ALPHABET)) | {" "})
+        self._code = np.zeros(0x110000, np.int16)  # 0: a letter that no small alphabet has
+        code = {c: i + 1 for i, c in enumerate(letters)}
+        for c, i in code.items():
+            self._code[ord(c)] = i
+        self._dense = [DenseAutomaton(a, code, len(letters) + 1) if len(a.alphabet) < SMALL_ALPHABET else None for a in self.forward]
         self._known: dict[str, tuple[float, ...]] = {}
 
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Work out the costs of the pieces that aren't remembered yet, all in step."""
+        if len(self._known) > REMEMBERED:
+            self._known.clear()
+        new = sorted({p for p in pieces if p not in self._known}, key=len, reverse=True)
+        if not new:
+            return
+        # blanks around a piece let whole words match; Han text has none
+        texts = [p if _script(p[0]) == 2 else f" {p} " for p in new]
+        texts, new = map(list, zip(*sorted(zip(texts, new), key=lambda x: -len(x[0]))))
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        codes = self._code[points]
+        lengths = np.array([len(t) for t in texts])
+        starts = np.cumsum(lengths) - lengths
+        bits = np.empty((len(new), len(self.langs)))
+        for j, (a, dense) in enumerate(zip(self.forward, self._dense)):
+            foreign = np.array([a.alphabet.isdisjoint(p) for p in new])
+            bits[:, j] = np.array([len(p) for p in new])
+            own = np.flatnonzero(~foreign)
+            if dense is not None:
+                bits[own, j] = dense.phrases(codes, starts[own], lengths[own])
+            else:
+                bits[own, j] = [a.phrases(texts[i]) for i in own]
+            bits[:, j] *= a.bits
+        close = bits <= bits.min(axis=1, keepdims=True) * CLOSE
+        for i in np.flatnonzero(close.sum(axis=1) > 1):
+            back = texts[i][::-1]
+            for j in np.flatnonzero(close[i]):
+                if not self.backward[j].alphabet.isdisjoint(new[i]):
+                    bits[i, j] = (bits[i, j] + self.backward[j].bits * self.backward[j].phrases(back)) / 2
+        self._known.update(zip(new, map(tuple, bits.tolist())))
+
     def costs(self, piece: str) -> tuple[float, ...]:
         """Bits of a plain piece in each language."""
-        if (known := self._known.get(piece)) is not None:
-            return known
-        han = _script(piece[0]) == 2
-        text = piece if han else f" {piece} "
-        out = [a.bits * (len(piece) if a.alphabet.isdisjoint(piece) else a.phrases(text)) for a in self.forward]
-        best = min(out)
-        close = [i for i, x in enumerate(out) if x <= best * CLOSE]
-        if len(close) > 1:
-            back = text[::-1]
-            for i in close:
-                if not self.backward[i].alphabet.isdisjoint(piece):
-                    out[i] = (out[i] + self.backward[i].bits * self.backward[i].phrases(back)) / 2
-        if len(self._known) >= REMEMBERED:
-            self._known.clear()
-        self._known[piece] = tuple(out)
+        if piece not in self._known:
+            self.learn([piece])
         return self._known[piece]
 
     def _weighed(self, text: str, start: int, end: int, piece: str) -> tuple[float, ...]:
@@ -175,10 +239,18 @@ class Identifier:
 
     def segments(self, text: str) -> list[Segment]:
         """Segments of one language each; places are those of the repaired text."""
-        pieces = []
-        for start, end in _pieces(text):
-            if p := plain(text[start:end]):
-                pieces.append((start, end, p))
+        return self._path(text, split(text))
+
+    def segments_of(self, texts: Sequence[str]) -> Iterator[list[Segment]]:
+        """``segments`` of many texts, their pieces parsed together."""
+        for at in range(0, len(texts), 2000):
+            part = texts[at : at + 2000]
+            cut = [split(t) for t in part]
+            self.learn(p for pieces in cut for _, _, p in pieces)
+            for text, pieces in zip(part, cut):
+                yield self._path(text, pieces)
+
+    def _path(self, text: str, pieces: list[tuple[int, int, str]]) -> list[Segment]:
         if not pieces:
             return []
         n = len(self.langs)
@@ -215,10 +287,25 @@ def confidence(bits: Sequence[float], chosen: int) -> float:
 
 
 def _script(c: str) -> int:
+    """Latin, Cyrillic, Han or any other."""
     o = ord(c)
     return 0 if o < 0x370 or 0x1E00 <= o < 0x2000 else 1 if 0x400 <= o < 0x530 else 2 if 0x2E80 <= o < 0xA000 or 0x20000 <= o < 0x40000 else 3
 
 
+#: Letters of the same four.
+SCRIPTS = [
+    re.compile("[A-Za-zªºÀ-ÖØ-öø-ˁḀ-ỿ]"),
+    re.compile("[Ѐ-ҁҊ-ԯ]"),
+    re.compile("[⺀-⿿々-〇㐀-䶿一-鿿𠀀-𿿿]"),
+    re.compile("[Ͱ-ϿԱ-᷿ⰰ-ⷿꀀ-🿿]"),
+]
+
+
+def split(text: str) -> list[tuple[int, int, str]]:
+    """Pieces with letters: start, end, plain text."""
+    return [(a, b, p) for a, b in _pieces(text) if (p := plain(text[a:b]))]
+
+
 def _pieces(text: str) -> Iterator[tuple[int, int]]:
     at = 0
     for m in BREAK.finditer(text):
@@ -231,7 +318,7 @@ def _pieces(text: str) -> Iterator[tuple[int, int]]:
 
 def _by_script(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
     part = text[start:end]
-    if part.isascii():
+    if part.isascii() or sum(x.search(part) is not None for x in SCRIPTS) < 2:
         yield start, end
         return
     at, now = start, None
@@ -255,16 +342,27 @@ def label_language(label: Column) -> Column:
     return out
 
 
-SEGMENTS = "seg_no int, seg_start int, seg_end int, found_lang string, confidence double, letters int"
+SEGMENTS = {"seg_no": pa.int32(), "seg_start": pa.int32(), "seg_end": pa.int32(), "found_lang": pa.string(), "confidence": pa.float64(), "letters": pa.int32()}
+LANGUAGES = {"found_lang": pa.string(), "share": pa.float64(), "confidence": pa.float64(), "mixed": pa.bool_()}
+SQL = {pa.int32(): "int", pa.string(): "string", pa.float64(): "double", pa.bool_(): "boolean"}
 
 
-def segments(docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", text: str = "text", keep: Sequence[str] = (), max_samples: int = 20_000) -> DataFrame:
-    """id, kept columns, and a row for each one-language segment of each whole text.
+def languages_of(found: list[Segment], mixed_share: float = 0.15) -> list[tuple[str, float, float, bool]]:
+    """Language, share of the letters, confidence and whether the text is mixed: all languages of a mixed text, the main one of another."""
+    letters: dict[str, int] = {}
+    sure: dict[str, float] = {}
+    for s in found:
+        letters[s.lang] = letters.get(s.lang, 0) + s.letters
+        sure[s.lang] = sure.get(s.lang, 0.0) + s.confidence * s.letters
+    total = sum(letters.values())
+    if not total:
+        return []
+    ranked = sorted(letters, key=lambda x: (-letters[x], x))
+    big = [x for x in ranked if letters[x] >= mixed_share * total]
+    return [(x, letters[x] / total, sure[x] / letters[x], len(big) > 1) for x in (big if len(big) > 1 else ranked[:1])]
 
-    The classifier is fitted on at most ``max_samples`` labelled rows (the first by
-    language and text; a fixed bound, so it is sent to all tasks). Null and empty texts
-    and texts without letters give no rows. Ties go to the language first in the alphabet.
-    """
+
+def _identify(docs: DataFrame, samples: DataFrame, id_col: str, text: str, keep: Sequence[str], max_samples: int, out: dict[str, pa.DataType], rows_of) -> DataFrame:
     spark = docs.sparkSession
     rows = samples.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").orderBy("lang", "text").limit(max_samples).collect()
     shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in rows])
@@ -273,34 +371,42 @@ def segments(docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identify = Identifier(shared.value)
-        types = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32()]
-        names = ["seg_no", "seg_start", "seg_end", "found_lang", "confidence", "letters"]
         for batch in batches:
-            owner, out = [], []
-            for i, t in enumerate(batch.column(len(head)).to_pylist()):
-                for k, s in enumerate(identify.segments(repaired(t))):
-                    owner.append(i)
-                    out.append((k, s.start, s.end, s.lang, s.confidence, s.letters))
-            columns = list(zip(*out)) or [[] for _ in names]
+            texts = [repaired(t) for t in batch.column(len(head)).to_pylist()]
+            owner, made = [], []
+            for i, found in enumerate(identify.segments_of(texts)):
+                new = rows_of(found)
+                owner += [i] * len(new)
+                made += new
+            columns = list(zip(*made)) or [[] for _ in out]
             place = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(place) for i in range(len(head))), *(pa.array(c, k) for c, k in zip(columns, types))], names=[*head, *names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(place) for i in range(len(head))), *(pa.array(c, k) for c, k in zip(columns, out.values()))], names=[*head, *out])
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in head) + ", " + SEGMENTS
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in head] + [f"{c} {SQL[k]}" for c, k in out.items()])
     return docs.where(F.col(text).isNotNull()).select(*head, F.col(text)).mapInArrow(run, schema)
 
 
-def languages(found: DataFrame, id_col: str = "doc_id", keep: Sequence[str] = (), mixed_share: float = 0.15) -> DataFrame:
+def segments(docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", text: str = "text", keep: Sequence[str] = (), max_samples: int = 20_000) -> DataFrame:
+    """id, kept columns, and a row for each one-language segment of each whole text.
+
+    The classifier is fitted on at most ``max_samples`` labelled rows (the first by
+    language and text; a fixed bound, so it is sent to all tasks). Null and empty texts
+    and texts without letters give no rows. Ties go to the language first in the
+    alphabet. Each row of ``docs`` is a text of its own, repeated ids too. Nothing is
+    shuffled.
+    """
+
+    def rows_of(found: list[Segment]) -> list[tuple]:
+        return [(k, s.start, s.end, s.lang, s.confidence, s.letters) for k, s in enumerate(found)]
+
+    return _identify(docs, samples, id_col, text, keep, max_samples, SEGMENTS, rows_of)
+
+
+def languages(docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", text: str = "text", keep: Sequence[str] = (), mixed_share: float = 0.15, max_samples: int = 20_000) -> DataFrame:
     """id, kept columns, found_lang, share of the letters, confidence, mixed: the text's languages.
 
     A mixed text has a row for each language with at least ``mixed_share`` of its
-    letters; any other text one row, its language of most letters.
+    letters; any other text with letters one row, its language of most letters. See
+    ``segments`` for the rest.
     """
-    head = [id_col, *keep]
-    from pyspark.sql import Window as W
-
-    by = found.groupBy(*head, "found_lang").agg(F.sum("letters").alias("n"), (F.sum(F.col("confidence") * F.col("letters")) / F.sum("letters")).alias("confidence"))
-    w = W.partitionBy(id_col)
-    share = F.col("n") / F.sum("n").over(w)
-    ranked = by.withColumn("share", share).withColumn("_rank", F.row_number().over(w.orderBy(F.desc("n"), "found_lang"))).withColumn("_big", F.sum(F.when(F.col("share") >= mixed_share, 1).otherwise(0)).over(w))
-    mixed = F.col("_big") > 1
-    return ranked.where((mixed & (F.col("share") >= mixed_share)) | (~mixed & (F.col("_rank") == 1))).select(*head, "found_lang", "share", "confidence", mixed.alias("mixed"))
+    return _identify(docs, samples, id_col, text, keep, max_samples, LANGUAGES, lambda found: languages_of(found, mixed_share))

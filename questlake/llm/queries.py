@@ -89,22 +89,20 @@ def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-def _segments(spark: SparkSession, d: str) -> DataFrame:
-    return language.segments(table(spark, d, "documents"), table(spark, d, "lang_samples"), keep=["lang"])
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    found = language.languages(_segments(spark, d), keep=["lang"])
+    found = p10_documents(spark, d)
     named = language.label_language(F.col("lang"))
     return found.where(F.col("mixed") | ~F.coalesce(named == F.col("found_lang"), F.lit(False))).select("doc_id", "found_lang")
 
 
 def p10_documents(spark: SparkSession, d: str) -> DataFrame:
-    return language.languages(_segments(spark, d), keep=["lang"])
+    return language.languages(table(spark, d, "documents"), table(spark, d, "lang_samples"), keep=["lang"])
 
 
 def p10_segments(spark: SparkSession, d: str) -> DataFrame:
-    return _segments(spark, d).drop("lang")
+    return language.segments(table(spark, d, "documents"), table(spark, d, "lang_samples"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
