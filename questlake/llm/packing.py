@@ -89,50 +89,64 @@ class Plan:
         return tuple(np.array([r[c] for r in rows], np.int64) for c in range(6))
 
 
-def plan_packing(histogram: np.ndarray, units: int = 128, most: int = 3) -> Plan:
+def plan_packing(histogram: np.ndarray, units: int = 128, most: int = 3, shares: tuple[float, ...] = (1.0, 0.8, 0.5, 0.0)) -> Plan:
     """Plan for ``histogram[length]`` items of each length up to the capacity (its last index).
 
     1. Lengths are put into ``units`` equal classes, and all patterns of up to ``most``
-       classes that fill a container are enumerated. Non-negative least squares, rows
-       weighted by 1/√count, fits their repeat counts to the class histogram.
-    2. The counts are rounded down to what is there, largest first. A pattern takes its
-       classes' lengths from the long end of one and the short end of the next, and the
-       gap that the classes leave is filled with the longest items that fit.
+       classes that fill a container are enumerated. Non-negative least squares fits
+       their repeat counts to the class histogram; long classes weigh more, since short
+       items find a place in any gap.
+    2. The counts are rounded and run, most frequent first. A pattern takes the long
+       end of one class and the short end of the next, and the gap that is left is
+       filled with the longest items that fit.
     3. The residual is packed longest first, a pattern of lengths at a time, repeated
        until one of them runs out.
 
+    Where the residual of a full fit packs badly (few short items), running a share of
+    the fitted counts does better; the share with the fewest containers is taken.
+
     All steps work on counts per length, so the plan takes the same time for a thousand
     items or a trillion.
     """
     capacity = len(histogram) - 1
-    left = histogram.astype(np.int64).copy()
-    left[0] = 0
-    plan = Plan(capacity)
-    fit = _Fitter(left)
     width = -(-capacity // units)
     units = capacity // width
     # a class holds the lengths up to class * width; those beyond the last class go to the residual
     classes = np.minimum(-(-np.arange(capacity + 1) // width), units + 1)
-    counts = np.bincount(classes, left, minlength=units + 2)[: units + 1].astype(np.float64)
+    counts = np.bincount(classes, histogram, minlength=units + 2)[: units + 1].astype(np.float64)
+    counts[0] = 0
     patterns = few_item_patterns(units, counts > 0, most)
+    fitted = np.zeros(0)
     if patterns:
         a = np.zeros((units + 1, len(patterns)))
         for j, p in enumerate(patterns):
             np.add.at(a[:, j], list(p), 1)
-        weight = 1 / np.sqrt(np.maximum(counts, 1))
-        x = nnls(a * weight[:, None], counts * weight)
-        for j in np.argsort(-x, kind="stable"):
-            repeats = int(x[j] + 0.5)
-            if repeats > 0:
-                _run_pattern(plan, fit, left, classes, patterns[j], repeats)
+        weight = np.arange(units + 1) / units / np.sqrt(np.maximum(counts, 1))
+        fitted = nnls(a * weight[:, None], counts * weight)
+    best = None
+    for share in shares if fitted.any() else (0.0,):
+        plan = _run(histogram, classes, patterns, np.floor(fitted * share + (0.5 if share == 1 else 0)).astype(np.int64))
+        if best is None or plan.containers < best.containers:
+            best = plan
+    return best
+
+
+def _run(histogram: np.ndarray, classes: np.ndarray, patterns: list[tuple[int, ...]], repeats: np.ndarray) -> Plan:
+    capacity = len(histogram) - 1
+    left = histogram.astype(np.int64).copy()
+    left[0] = 0
+    plan, fit = Plan(capacity), _Fitter(left)
+    for j in np.argsort(-repeats, kind="stable"):
+        if repeats[j]:
+            _run_pattern(plan, fit, left, classes, patterns[j], int(repeats[j]))
     while True:
         top = fit.longest(capacity)
         if not top:
             return plan
         count = min(capacity // top, int(left[top]))
-        repeats = int(left[top]) // count
-        left[top] -= count * repeats
-        _fill(plan, fit, left, [(top, count)], repeats, capacity - top * count)
+        times = int(left[top]) // count
+        left[top] -= count * times
+        _fill(plan, fit, left, [(top, count)], times, capacity - top * count)
 
 
 class _Fitter:
