@@ -53,6 +53,7 @@ def player_day_windows(dwd: DataFrame, delay: str = "10 seconds") -> DataFrame:
 
 
 def dungeon_day_windows(dwd: DataFrame, delay: str = "10 seconds") -> DataFrame:
+    """Dungeon-day counts when the day has closed; only events that name a dungeon move the watermark."""
     count = lambda kind: F.count_if(F.col("event_type") == kind)
     return (
         dwd.where("dungeon_id IS NOT NULL")
