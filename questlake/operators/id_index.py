@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from questlake.functions.scalars import canonical_uuid, micros
+from questlake.functions.scalars import micros, uuid_bytes
 from questlake.workspace import Folder, Manifest, new_folder
 
 LAST = 2**63 - 1  # null times and batches come last
@@ -199,16 +199,16 @@ class IdIndex:
     @staticmethod
     def deliveries(rows: DataFrame, topic: str, event_id: str = "event_id", time: str = "event_time") -> DataFrame:
         """Identified deliveries in the index's form; rows without an identifier are not among them."""
+        # any row with a visible character has an identifier; this test is cheap and runs in the scan
         return (
-            rows.select(
+            rows.where(F.col(event_id).rlike(r"\S")).select(
                 F.lit(topic).alias("topic"),
-                F.unhex(canonical_uuid(F.col(event_id))).alias("id"),
+                uuid_bytes(F.col(event_id)).alias("id"),
                 F.coalesce(micros(F.col(time)), F.lit(LAST)).alias("t"),
                 F.coalesce(F.col("batch_id").cast("bigint"), F.lit(LAST)).alias("b"),
                 F.col("kafka_partition").cast("int").alias("p"),
                 F.col("kafka_offset").cast("bigint").alias("o"),
             )
-            .where(F.col("id").isNotNull())
         )
 
     def _runs(self, state: dict) -> DataFrame:
