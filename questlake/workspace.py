@@ -42,6 +42,12 @@ def materialise(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For work that is heavy per row: a table that comes in fewer pieces than there are cores is dealt out evenly."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(3 * cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Give the package to all Python workers, once a session, wherever the driver was started."""
     context = spark.sparkContext
@@ -50,8 +56,6 @@ def ship(spark: SparkSession) -> None:
     packed = io.BytesIO()
     with zipfile.PyZipFile(packed, "w") as archive:
         archive.writepy(str(Path(__file__).parent))
-        for folder in sorted(p.parent for p in Path(__file__).parent.glob("*/__init__.py")):
-            archive.writepy(str(folder), basename=Path(__file__).parent.name)
     folder = Folder(spark, new_folder(spark, "code"))
     folder.write_bytes("questlake.zip", packed.getvalue())
     context.addPyFile(f"{folder.path}/questlake.zip")
