@@ -7,12 +7,15 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from questlake.workspace import spread
+
 # ISO 639-1, 639-2/T and 639-2/B codes and English names of the languages.
 LABELS = {
     "en": ("en", "eng", "english"),
@@ -129,10 +132,9 @@ class DenseAutomaton:
                     states.append(then)
             at += 1
         self.follow = np.full((len(states), width), -1, np.int32)
-        for i, state in enumerate(states):
-            for c, then in state.items():
-                if c in code:
-                    self.follow[i, code[c]] = numbers[id(then)]
+        edges = [(i, code[c], numbers[id(then)]) for i, state in enumerate(states) for c, then in state.items()]
+        i, c, then = np.array(edges, np.int32).reshape(-1, 3).T
+        self.follow[i, c] = then
 
     def phrases(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases of each text; texts come longest first."""
@@ -180,9 +182,9 @@ class Identifier:
         self.langs = sorted(texts)
         forward = {lang: "\n".join(dict.fromkeys(x for t in ts for x in (f" {t} ", f" {without_marks(t)} "))) for lang, ts in texts.items()}
         self.forward = [Automaton(forward[lang]) for lang in self.langs]
-        self.backward = [Automaton(forward[lang][::-1]) for lang in self.langs]
+        self._texts, self._backward = forward, {}
         self.least = max(a.bits for a in self.forward)
-        letters = sorted(set().union(*(a.alphabet for a in self.forward if len(a.alphabet) < SMALL_ALPHABET)) | {" "})
+        letters = sorted(set().union(*(a.alphabet for a in self.forward if len(a.alphabet) < SMALL_ALPHABET)) | {" ", "\n"})
         self._code = np.zeros(0x110000, np.int16)  # 0: a letter that no small alphabet has
         code = {c: i + 1 for i, c in enumerate(letters)}
         for c, i in code.items():
@@ -190,6 +192,12 @@ class Identifier:
         self._dense = [DenseAutomaton(a, code, len(letters) + 1) if len(a.alphabet) < SMALL_ALPHABET else None for a in self.forward]
         self._known: dict[str, tuple[float, ...]] = {}
 
+    def backward(self, j: int) -> Automaton:
+        """The automaton of the reversed text, made when it is first needed."""
+        if j not in self._backward:
+            self._backward[j] = Automaton(self._texts[self.langs[j]][::-1])
+        return self._backward[j]
+
     def learn(self, pieces: Iterable[str]) -> None:
         """Work out the costs of the pieces that aren't remembered yet, all in step."""
         if len(self._known) > REMEMBERED:
@@ -218,8 +226,8 @@ class Identifier:
         for i in np.flatnonzero(close.sum(axis=1) > 1):
             back = texts[i][::-1]
             for j in np.flatnonzero(close[i]):
-                if not self.backward[j].alphabet.isdisjoint(new[i]):
-                    bits[i, j] = (bits[i, j] + self.backward[j].bits * self.backward[j].phrases(back)) / 2
+                if not self.forward[j].alphabet.isdisjoint(new[i]):
+                    bits[i, j] = (bits[i, j] + self.forward[j].bits * self.backward(j).phrases(back)) / 2
         self._known.update(zip(new, map(tuple, bits.tolist())))
 
     def costs(self, piece: str) -> tuple[float, ...]:
@@ -279,6 +287,12 @@ class Identifier:
         return out
 
 
+@lru_cache(maxsize=2)
+def identifier(samples: tuple[tuple[str, str], ...]) -> Identifier:
+    """One classifier for all tasks of a worker."""
+    return Identifier(samples)
+
+
 def confidence(bits: Sequence[float], chosen: int) -> float:
     """Between 0 and 1: weight of the chosen language among all, a tenth of the bits counting as evidence (pieces aren't independent)."""
     lowest = min(bits)
@@ -365,12 +379,12 @@ def languages_of(found: list[Segment], mixed_share: float = 0.15) -> list[tuple[
 def _identify(docs: DataFrame, samples: DataFrame, id_col: str, text: str, keep: Sequence[str], max_samples: int, out: dict[str, pa.DataType], rows_of) -> DataFrame:
     spark = docs.sparkSession
     rows = samples.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").orderBy("lang", "text").limit(max_samples).collect()
-    shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in rows])
+    shared = spark.sparkContext.broadcast(tuple((r[0], r[1]) for r in rows))
     kinds = dict(docs.dtypes)
     head = [id_col, *(c for c in keep if c != id_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        identify = Identifier(shared.value)
+        identify = identifier(shared.value)
         for batch in batches:
             texts = [repaired(t) for t in batch.column(len(head)).to_pylist()]
             owner, made = [], []
@@ -383,7 +397,7 @@ def _identify(docs: DataFrame, samples: DataFrame, id_col: str, text: str, keep:
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(place) for i in range(len(head))), *(pa.array(c, k) for c, k in zip(columns, out.values()))], names=[*head, *out])
 
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in head] + [f"{c} {SQL[k]}" for c, k in out.items()])
-    return docs.where(F.col(text).isNotNull()).select(*head, F.col(text)).mapInArrow(run, schema)
+    return spread(docs.where(F.col(text).isNotNull()).select(*head, F.col(text))).mapInArrow(run, schema)
 
 
 def segments(docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", text: str = "text", keep: Sequence[str] = (), max_samples: int = 20_000) -> DataFrame:
