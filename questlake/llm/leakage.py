@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from questlake.llm.words import words
+from questlake.workspace import spread
 
 RESULT = "item_id bigint, doc_id bigint, rule string, matched_words int, passage_words int"
 
@@ -187,11 +188,12 @@ def leaked_items(docs: DataFrame, items: DataFrame, run: int = 10, share: float
     total = ids.count()
     blocks = max(1, -(-total // block))
     part = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
+    texts = spread(docs.select("doc_id", "text").where("text IS NOT NULL"))
     out = None
     for b in range(blocks):
         rows = [(r[0], r[1]) for r in ids.where(part == b).collect()]  # a block: the stated bound
         shared = spark.sparkContext.broadcast(rows)
-        one = docs.select("doc_id", "text").where("text IS NOT NULL").mapInArrow(_search(shared, run, share, stretch), RESULT)
+        one = texts.mapInArrow(_search(shared, run, share, stretch), RESULT)
         out = one if out is None else out.unionByName(one)
     return out.dropDuplicates(["item_id", "doc_id"])
 

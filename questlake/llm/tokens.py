@@ -9,6 +9,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from questlake.workspace import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pre-tokenisation pattern that the vocabulary was made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -34,4 +36,4 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", pa
             n = [len(encode(t)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32())], names=[id_col, "n_tokens"])
 
-    return docs.select(id_col, text).mapInArrow(count, f"{id_col} {kind}, n_tokens int")
+    return spread(docs.select(id_col, text)).mapInArrow(count, f"{id_col} {kind}, n_tokens int")
