@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from questlake.schema import DWD_COLUMNS, EVENT_TYPES
+from questlake.schema import DWD_COLUMNS, EVENT_TYPES, PROMOTED
+from questlake.sources.ods import flatten
 
-#: Columns that settle which of several rows with one id and one time is kept.
-TIE_BREAK = ("event_type", "player_id", "role_id", "server_id", "session_id", "payload")
+#: Columns that settle, in this order, which of several rows with one id and one time is kept.
+TIE_BREAK = ("player_id", "server_id", "event_type", "session_id", "role_id", "payload")
+#: Enough of them where only time, player and server of the kept row are used: the rest is then neither read nor shuffled.
+KEYS_ONLY = TIE_BREAK[:2]
 
 
 def valid_events(ods: DataFrame) -> DataFrame:
@@ -24,14 +27,14 @@ def valid_events(ods: DataFrame) -> DataFrame:
     return kept.withColumn("dt", F.to_date("event_time"))
 
 
-def first_wins(events: DataFrame, key: str = "event_id", order: str = "event_time") -> DataFrame:
+def first_wins(events: DataFrame, key: str = "event_id", order: str = "event_time", ties: tuple[str, ...] = TIE_BREAK) -> DataFrame:
     """One row per key: the earliest, ties by the other columns (nulls last).
 
     The row-number filter lets the planner cut each key to one row before the shuffle,
     so an id that is repeated without end still sends one row a task.
     """
-    ties = [F.col(c).asc_nulls_last() for c in TIE_BREAK if c in events.columns]
-    w = W.partitionBy(key).orderBy(F.col(order).asc_nulls_last(), *ties)
+    rest = [F.col(c).asc_nulls_last() for c in ties if c in events.columns]
+    w = W.partitionBy(key).orderBy(F.col(order).asc_nulls_last(), *rest)
     return events.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
@@ -40,6 +43,16 @@ def clean(ods: DataFrame) -> DataFrame:
     return first_wins(valid_events(ods)).select(*(c for c in DWD_COLUMNS if c in ods.columns or c == "dt"))
 
 
+def clean_raw(raw: DataFrame, ties: tuple[str, ...] = TIE_BREAK) -> DataFrame:
+    """``clean`` from rows whose payload isn't read yet: the JSON is parsed after de-duplication, for surviving rows only.
+
+    A caller that uses no column beyond a prefix of TIE_BREAK may give that prefix: the
+    used columns come out the same, and the scan is narrower.
+    """
+    bare = raw.drop(*PROMOTED)
+    return flatten(first_wins(valid_events(bare), ties=ties)).select(*DWD_COLUMNS)
+
+
 def _is(kind: str) -> F.Column:
     return F.count_if(F.col("event_type") == kind)
 

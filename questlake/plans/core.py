@@ -23,13 +23,18 @@ def ods(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dwd(spark: SparkSession, d: str) -> DataFrame:
-    return layers.clean(ods(spark, d))
+    return layers.clean_raw(sources.table(spark, d, ODS))
 
 
 def player_day(spark: SparkSession, d: str) -> DataFrame:
     return layers.player_day(dwd(spark, d))
 
 
+def presence(spark: SparkSession, d: str) -> DataFrame:
+    """Player-days for queries that use only day, server and player; the scan has the columns for these."""
+    return layers.player_day(layers.clean_raw(sources.table(spark, d, ODS), layers.KEYS_ONLY))
+
+
 def dungeon_day(spark: SparkSession, d: str) -> DataFrame:
     return layers.dungeon_day(dwd(spark, d))
 
@@ -136,20 +141,20 @@ def queries() -> dict[str, Query]:
         "dedup_first_wins": lambda s, d: dwd(s, d).drop("payload"),
         "dws_player_behavior_di": player_day,
         "dws_dungeon_behavior_di": dungeon_day,
-        "dws_player_first_seen": lambda s, d: layers.first_seen(dwd(s, d)),
-        "player_activity_days": lambda s, d: reports.player_activity_days(player_day(s, d)),
-        "active_7d": lambda s, d: metrics.active_in_trailing(player_day(s, d), 7),
-        "ads_dau_di": lambda s, d: metrics.dau(player_day(s, d)),
+        "dws_player_first_seen": lambda s, d: layers.first_seen(layers.clean_raw(sources.table(s, d, ODS), layers.KEYS_ONLY)),
+        "player_activity_days": lambda s, d: reports.player_activity_days(presence(s, d)),
+        "active_7d": lambda s, d: metrics.active_in_trailing(presence(s, d), 7),
+        "ads_dau_di": lambda s, d: metrics.dau(presence(s, d)),
         "ads_pay_rate_di": lambda s, d: metrics.pay_rate(player_day(s, d)),
         "ads_arpu_di": lambda s, d: metrics.arpu(player_day(s, d)),
         "ads_online_duration_di": lambda s, d: metrics.online_duration(player_day(s, d)),
         "ads_dungeon_clear_rate_di": lambda s, d: metrics.dungeon_clear_rate(dungeon_day(s, d)),
-        "ads_retention_nd": lambda s, d: metrics.retention(player_day(s, d)),
-        "ads_churn_di": lambda s, d: metrics.churn(player_day(s, d)),
-        "summary_dau_by_day": lambda s, d: reports.dau_by_day(metrics.dau(player_day(s, d))),
+        "ads_retention_nd": lambda s, d: metrics.retention(presence(s, d)),
+        "ads_churn_di": lambda s, d: metrics.churn(presence(s, d)),
+        "summary_dau_by_day": lambda s, d: reports.dau_by_day(metrics.dau(presence(s, d))),
         "summary_pay_arpu": lambda s, d: (lambda p: reports.pay_arpu(metrics.pay_rate(p), metrics.arpu(p)))(player_day(s, d)),
         "ads_row_counts": ads_row_counts,
-        "serving_dau_lookup": lambda s, d: reports.dau_lookup(metrics.dau(player_day(s, d))),
+        "serving_dau_lookup": lambda s, d: reports.dau_lookup(metrics.dau(presence(s, d))),
         "serving_ads_row": lambda s, d: (lambda p: reports.serving_row(metrics.dau(p), metrics.pay_rate(p)))(player_day(s, d)),
         "bounded_dau": lambda s, d: reports.bounded_dau(layers.valid_events(ods(s, d))),
         "event_pay_rate": lambda s, d: reports.event_pay_rate(layers.valid_events(ods(s, d))),
