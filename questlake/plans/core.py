@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from questlake.functions.scalars import event_type_name, iso_timestamp, promoted
-from questlake.operators import features, id_index, late_events, layers, metrics, reports, rolling, sessions
+from questlake.operators import features, id_index, late_events, layers, metrics, quality, reports, rolling, sessions
 from questlake.sources import ods as sources
 from questlake.sources.generator import generate_events
 
@@ -137,6 +137,7 @@ def queries() -> dict[str, Query]:
         "ods_json_scan": ods_json_scan,
         "ods_flatten": lambda s, d: ods(s, d).select("event_id", "event_type", "event_time", "player_id", "server_id", "dungeon_id", "amount_fen", "online_sec"),
         "iso_ts_parse": iso_ts_parse,
+        "ods_violations": lambda s, d: quality.violations(ods(s, d)),
         "ods_clean": lambda s, d: layers.valid_events(ods(s, d)).drop("payload"),
         "dedup_first_wins": lambda s, d: dwd(s, d).drop("payload"),
         "dws_player_behavior_di": player_day,

@@ -44,8 +44,11 @@ def materialise(df: DataFrame, folder: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """For work that is heavy per row: a table that comes in fewer pieces than there are cores is dealt out evenly."""
+    planned = df._jdf.queryExecution()
+    if "Exchange" in planned.executedPlan().toString():  # counting pieces would run it
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(3 * cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(3 * cores) if planned.toRdd().getNumPartitions() < cores else df
 
 
 def ship(spark: SparkSession) -> None:
@@ -53,9 +56,16 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if getattr(context, "_questlake_shipped", False):
         return
-    packed = io.BytesIO()
-    with zipfile.PyZipFile(packed, "w") as archive:
-        archive.writepy(str(Path(__file__).parent))
+    root = Path(__file__).parent
+    try:
+        packed = io.BytesIO()
+        with zipfile.PyZipFile(packed, "w") as archive:
+            archive.writepy(str(root))
+    except OSError:  # compiled files can't be kept beside the sources: ship these
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w") as archive:
+            for path in sorted(root.rglob("*.py")):
+                archive.write(path, f"{root.name}/{path.relative_to(root)}")
     folder = Folder(spark, new_folder(spark, "code"))
     folder.write_bytes("questlake.zip", packed.getvalue())
     context.addPyFile(f"{folder.path}/questlake.zip")

@@ -130,6 +130,23 @@ def test_passthrough_clean_stream_and_supervisor(spark, tmp_path):
         assert spark.table(name).select("event_id").distinct().count() == spark.table(name).count() == 11
 
 
+def test_late_corrector_as_a_stream_sink(spark, tmp_path):
+    from questlake.operators.late_events import LateCorrector
+
+    at = lambda sec: (BASE + dt.timedelta(seconds=sec)).strftime("%Y-%m-%d %H:%M:%S")
+    row = lambda i, sec, sink: {"event_id": i, "event_time": at(sec), "player_id": 1, "server_id": 1, "produce_ts": at(sec), "sink_ts": at(sink)}
+    topic, corrector = FileTopic(str(tmp_path / "in")), LateCorrector(spark, f"file://{tmp_path}/late")
+    from pyspark.sql import types as T
+
+    schema = T._parse_datatype_string("event_id string, event_time timestamp_ntz, player_id bigint, server_id int, produce_ts timestamp_ntz, sink_ts timestamp_ntz")
+    for rows in ([row("a", 1, 2), row("b", 61, 62)], [row("c", 5, 300), row("a", 1, 301), row("d", 2, 5000)]):
+        topic.produce(rows)
+        events = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+        events.writeStream.foreachBatch(lambda df, i: corrector.apply(df, i)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.window_start.minute, r.event_cnt, r.on_time_event_cnt, r.late_event_cnt) for r in corrector.figures().collect())
+    assert got == [(0, 2, 1, 1), (1, 1, 1, 0)]
+
+
 def test_file_topic(tmp_path):
     topic = FileTopic(str(tmp_path / "t"), segment_rows=2)
     assert topic.produce({"n": i} for i in range(5)) == 5
