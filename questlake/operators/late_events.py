@@ -105,9 +105,11 @@ def by_delivery(rows: DataFrame, batches: int) -> Iterator[DataFrame]:
     if lo is None:
         return
     step = (hi - lo) / batches
+    # as text: a literal made from a Python time would depend on the driver's own time zone
+    cut = lambda k: F.lit((lo + k * step).isoformat(sep=" ")).cast("timestamp_ntz")
     for k in range(batches):
-        mine = F.col("sink_ts") >= F.lit(lo + k * step).cast("timestamp_ntz")
-        yield rows.where(mine & (F.col("sink_ts") < F.lit(lo + (k + 1) * step).cast("timestamp_ntz")) if k < batches - 1 else mine)
+        mine = F.col("sink_ts") >= cut(k) if k else F.col("sink_ts").isNotNull()
+        yield rows.where(mine & (F.col("sink_ts") < cut(k + 1)) if k < batches - 1 else mine)
 
 
 def corrected_figures(rows: DataFrame, batches: int = 4, folder: str | None = None, **options) -> DataFrame:
