@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from questlake.functions.scalars import promoted
 from questlake.operators.keyed_table import KeyedTable
 from questlake.operators.layers import valid_events
 from questlake.plans.core_sql import VALID
@@ -39,7 +40,8 @@ def stream_daily_gauge(spark: SparkSession, d: str) -> DataFrame:
 def stream_recharge_agg(spark: SparkSession, d: str) -> DataFrame:
     folder = new_folder(spark, "recharge")
     target = KeyedTable(spark, f"{folder}/table", "agg_key string, recharge_cnt bigint, recharge_sum decimal(18,2), players bigint", ["agg_key"], part="agg_key")
-    rows = _stream(spark, d, "ods_player_events").withColumn("amount", (F.col("amount_fen") / F.lit(100)).cast("decimal(18,2)"))
+    fen = promoted(F.col("amount_fen"), F.col("payload"), "amount_fen", "bigint")
+    rows = _stream(spark, d, "ods_player_events").withColumn("amount", (fen / F.lit(100)).cast("decimal(18,2)"))
     jobs.to_keyed(jobs.recharge_gauge(rows), target, f"{folder}/checkpoint").awaitTermination()
     return target.read()
 
