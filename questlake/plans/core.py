@@ -41,7 +41,7 @@ def dungeon_day(spark: SparkSession, d: str) -> DataFrame:
 
 def ods_json_scan(spark: SparkSession, d: str) -> DataFrame:
     """Envelopes as JSON lines, parsed again by the NDJSON reader's parser."""
-    t = sources.table(spark, d, ODS).where("event_id IS NOT NULL")
+    t = sources.table(spark, d, ODS)
     iso = F.concat(F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
     lines = t.select(F.to_json(F.struct("event_id", "event_type", iso.alias("event_time"), "player_id", "role_id", "server_id", "session_id", "payload")).alias("value"))
     return sources.parse_envelope(lines).drop("payload").withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))

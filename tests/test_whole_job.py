@@ -12,3 +12,9 @@ def test_streamed_recharges_take_the_amount_from_the_payload(spark):
         SELECT *, COALESCE(amount_fen, TRY_CAST(json_extract_string(payload, '$.amount_fen') AS BIGINT)) AS amount FROM ods_player_events)
       WHERE event_id IS NOT NULL AND event_type = 'recharge' AND player_id IS NOT NULL AND amount IS NOT NULL GROUP BY event_id)"""
     assert differences(entry.queries()["stream_recharge_agg"](spark, FOLDER), connect(FOLDER), sql) == ""
+
+
+def test_json_scan_keeps_rows_without_an_id(spark):
+    sql = """SELECT event_id, event_type, event_time, player_id, role_id, server_id, session_id, TRY_CAST(json_extract_string(payload, '$.dungeon_id') AS INTEGER) AS dungeon_id,
+      TRY_CAST(json_extract_string(payload, '$.amount_fen') AS BIGINT) AS amount_fen, TRY_CAST(json_extract_string(payload, '$.online_sec') AS INTEGER) AS online_sec FROM ods_player_events"""
+    assert differences(entry.queries()["ods_json_scan"](spark, FOLDER), connect(FOLDER), sql) == ""
