@@ -167,7 +167,7 @@ def queries() -> dict[str, Query]:
         "latency_percentiles": lambda s, d: reports.latency_percentiles(sources.table(s, d, "kafka_g3_events")),
         "checkpoint_duration_stats": lambda s, d: reports.duration_stats(ods(s, d).where("event_type = 'logout'"), "online_sec"),
         "consumer_lag": row_stream_lag,
-        "gen_events": lambda s, d: generate_events(s, events=5000, players=200),
+        "gen_events": lambda s, d: generate_events(s, events=200_000, players=10_000),
         "p1_found": p1_found,
         "p1_minute_counts": p1_minute_counts,
         "p2_rolling": p2_rolling,

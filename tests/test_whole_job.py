@@ -18,3 +18,9 @@ def test_json_scan_keeps_rows_without_an_id(spark):
     sql = """SELECT event_id, event_type, event_time, player_id, role_id, server_id, session_id, TRY_CAST(json_extract_string(payload, '$.dungeon_id') AS INTEGER) AS dungeon_id,
       TRY_CAST(json_extract_string(payload, '$.amount_fen') AS BIGINT) AS amount_fen, TRY_CAST(json_extract_string(payload, '$.online_sec') AS INTEGER) AS online_sec FROM ods_player_events"""
     assert differences(entry.queries()["ods_json_scan"](spark, FOLDER), connect(FOLDER), sql) == ""
+
+
+def test_generator_is_registered_at_the_size_of_the_reference(spark):
+    rows = entry.queries()["gen_events"](spark, FOLDER)
+    assert rows.count() == 200_000 and rows.select("event_id").distinct().count() == 200_000
+    assert 9_000 < rows.select("player_id").distinct().count() <= 10_000
