@@ -12,6 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from questlake.workspace import spread
@@ -376,10 +377,17 @@ def languages_of(found: list[Segment], mixed_share: float = 0.15) -> list[tuple[
     return [(x, letters[x] / total, sure[x] / letters[x], len(big) > 1) for x in (big if len(big) > 1 else ranked[:1])]
 
 
+def fitting_sample(samples: DataFrame, max_samples: int) -> list[tuple[str, str]]:
+    """At most ``max_samples`` labelled rows by language and text: equally many of each language, in hash order, and all of one that has fewer."""
+    labelled = samples.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
+    turn = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
+    rows = labelled.withColumn("_n", turn).where(F.col("_n") <= max_samples).orderBy("_n", "lang").limit(max_samples).collect()
+    return sorted((r.lang, r.text) for r in rows)
+
+
 def _identify(docs: DataFrame, samples: DataFrame, id_col: str, text: str, keep: Sequence[str], max_samples: int, out: dict[str, pa.DataType], rows_of) -> DataFrame:
     spark = docs.sparkSession
-    rows = samples.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").orderBy("lang", "text").limit(max_samples).collect()
-    shared = spark.sparkContext.broadcast(tuple((r[0], r[1]) for r in rows))
+    shared = spark.sparkContext.broadcast(tuple(fitting_sample(samples, max_samples)))
     kinds = dict(docs.dtypes)
     head = [id_col, *(c for c in keep if c != id_col)]
 
@@ -403,8 +411,8 @@ def _identify(docs: DataFrame, samples: DataFrame, id_col: str, text: str, keep:
 def segments(docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", text: str = "text", keep: Sequence[str] = (), max_samples: int = 20_000) -> DataFrame:
     """id, kept columns, and a row for each one-language segment of each whole text.
 
-    The classifier is fitted on at most ``max_samples`` labelled rows (the first by
-    language and text; a fixed bound, so it is sent to all tasks). Null and empty texts
+    The classifier is fitted on at most ``max_samples`` labelled rows (equally many of
+    each language; a fixed bound, so it is sent to all tasks). Null and empty texts
     and texts without letters give no rows. Ties go to the language first in the
     alphabet. Each row of ``docs`` is a text of its own, repeated ids too. Nothing is
     shuffled.
