@@ -11,42 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from questlake.functions.scalars import micros, uuid_bytes
+from questlake.operators.id_runs import FAN, RUN_ARROW, RunSet, as_ids, best_first, cell_of, groups, prefix_of, run_row
 from questlake.workspace import Folder, Manifest, new_folder
 
 LAST = 2**63 - 1  # null times and batches come last
-DELIVERY = "topic string, prefix int, id binary, t bigint, b bigint, p int, o bigint"
-RUN = "topic string, prefix int, run int, ids binary, t binary, b binary, p binary, o binary"
+DELIVERY = "topic string, h int, id binary, t bigint, b bigint, kafka_partition int, kafka_offset bigint"
+DUPLICATE = "topic string, kafka_partition int, kafka_offset bigint"
 #: Rows that a local step holds at a time; beyond it, it goes on afresh and the index step settles the rest.
 LOCAL_ROWS = 2_000_000
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    """Sixteen-byte identifiers without a copy."""
-    if not len(column):
-        return np.empty(0, "S16")
-    start = column.offset
-    offsets = np.frombuffer(column.buffers()[1], np.int32, count=len(column) + 1, offset=4 * start)
-    return np.frombuffer(column.buffers()[2], "S16", count=len(column), offset=int(offsets[0]))
-
-
-def _binary(ids: np.ndarray) -> pa.Array:
-    raw = np.ascontiguousarray(ids)
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(raw), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
-
-
 def _unpack(table: pa.Table) -> tuple[np.ndarray, ...]:
     t = table.combine_chunks()
     one = lambda name: t.column(name).chunk(0) if t.num_rows else pa.array([], t.schema.field(name).type)
-    return (_ids(one("id")), *(one(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("t", "b", "p", "o")))
-
-
-def _best_first(ids: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by identifier and preference; the second array marks the first of each identifier."""
-    order = np.lexsort((*reversed(keys), ids))
-    sorted_ids = ids[order]
-    first = np.ones(len(order), bool)
-    first[1:] = sorted_ids[1:] != sorted_ids[:-1]
-    return order, first
+    return (as_ids(one("id")), *(one(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("t", "b", "kafka_partition", "kafka_offset")))
 
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,66 +53,22 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settle(held)
 
 
-class _Runs:
-    """The runs of one prefix, newest first; a newer entry of an identifier replaces older ones."""
-
-    def __init__(self, table: pa.Table):
-        rows = sorted(table.to_pylist(), key=lambda r: -r["run"])
-        self.runs = [
-            (np.frombuffer(r["ids"], "S16"), *(np.frombuffer(r[c], k) for c, k in (("t", np.int64), ("b", np.int64), ("p", np.int32), ("o", np.int64))))
-            for r in rows
-        ]
-
-    def lookup(self, ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Binary search in each run: which identifiers are known, and their delivery in force."""
-        known = np.zeros(len(ids), bool)
-        found = [np.zeros(len(ids), np.int64) for _ in range(4)]
-        for run_ids, *values in self.runs:
-            open_ = np.flatnonzero(~known)
-            if not len(open_) or not len(run_ids):
-                continue
-            at = np.minimum(np.searchsorted(run_ids, ids[open_]), len(run_ids) - 1)
-            hit = run_ids[at] == ids[open_]
-            known[open_[hit]] = True
-            for out, v in zip(found, values):
-                out[open_[hit]] = v[at[hit]]
-        return known, found
-
-    def merged(self) -> tuple[np.ndarray, ...]:
-        """One sorted run with the newest entry of each identifier."""
-        if not self.runs:
-            return (np.empty(0, "S16"), *(np.empty(0, np.int64) for _ in range(4)))
-        ids = np.concatenate([r[0] for r in self.runs])
-        age = np.concatenate([np.full(len(r[0]), k) for k, r in enumerate(self.runs)])
-        order, first = _best_first(ids, age)
-        pick = order[first]
-        return (ids[pick], *(np.concatenate([r[c] for r in self.runs])[pick] for c in range(1, 5)))
-
-
-def _run_row(topic: str, prefix: int, run: int, ids: np.ndarray, t: np.ndarray, b: np.ndarray, p: np.ndarray, o: np.ndarray) -> dict:
-    return {
-        "topic": topic, "prefix": prefix, "run": run, "ids": ids.tobytes(),
-        "t": t.astype(np.int64).tobytes(), "b": b.astype(np.int64).tobytes(), "p": p.astype(np.int32).tobytes(), "o": o.astype(np.int64).tobytes(),
-    }
-
-
-RUN_ARROW = pa.schema([("topic", pa.string()), ("prefix", pa.int32()), ("run", pa.int32()), *((c, pa.binary()) for c in ("ids", "t", "b", "p", "o"))])
 STEP_ARROW = pa.schema([("kind", pa.string()), *RUN_ARROW, ("kafka_partition", pa.int32()), ("kafka_offset", pa.int64())])
-STEP = "kind string, topic string, prefix int, run int, ids binary, t binary, b binary, p binary, o binary, kafka_partition int, kafka_offset bigint"
+STEP = "kind string, cell int, topic string, ids binary, h binary, t binary, b binary, p binary, o binary, kafka_partition int, kafka_offset bigint"
 
 
-def _settle_against(run: int):
-    def settle(key: tuple[pa.Scalar, ...], batch: pa.Table, index: pa.Table) -> pa.Table:
-        topic, prefix = key[0].as_py(), key[1].as_py()
-        if not batch.num_rows:
-            return STEP_ARROW.empty_table()
-        ids, *new = _unpack(batch)
+def _settle(reader):
+    """Survivors of a batch, clustered by cell and topic, against the runs: a new run's rows, and the deliveries that lose."""
+
+    def one(cell: int, topic: str, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, *new = _unpack(table)
+        h = table.column("h").to_numpy()
         # copies of one identifier from several tasks: the best stays
-        order, first = _best_first(ids, *new)
+        order, first = best_first(ids, *new)
         lost_p, lost_o = [new[2][order[~first]]], [new[3][order[~first]]]
         keep = order[first]
-        ids, new = ids[keep], [v[keep] for v in new]
-        known, old = _Runs(index).lookup(ids)
+        ids, h, new = ids[keep], h[keep], [v[keep] for v in new]
+        known, old = reader.lookup(topic, ids, h)
         better, tie = np.zeros(len(ids), bool), np.ones(len(ids), bool)
         for n, o in zip(new, old):
             better |= tie & (n < o)
@@ -144,57 +78,44 @@ def _settle_against(run: int):
         lost_o += [new[3][known & ~better & ~again], old[3][known & better]]
         enter = ~known | better
         p, o = np.concatenate(lost_p), np.concatenate(lost_o)
-        dups = pa.table({"kind": pa.array(["dup"] * len(p)), "topic": pa.array([topic] * len(p)), "kafka_partition": pa.array(p, pa.int32()), "kafka_offset": pa.array(o, pa.int64())})
-        runs = [{"kind": "run", **_run_row(topic, prefix, run, ids[enter], *(v[enter] for v in new))}] if enter.any() else []
-        full = pa.concat_tables([pa.Table.from_pylist(runs, STEP_ARROW), pa.table({f.name: dups[f.name] if f.name in dups.column_names else pa.nulls(len(p), f.type) for f in STEP_ARROW}, STEP_ARROW)])
-        return full
-
-    return settle
-
+        if len(p):
+            dups = {"kind": pa.array(["dup"] * len(p)), "cell": pa.array(np.full(len(p), -1, np.int32)), "topic": pa.array([topic] * len(p)), "kafka_partition": pa.array(p, pa.int32()), "kafka_offset": pa.array(o, pa.int64())}
+            yield from pa.table({f.name: dups.get(f.name, pa.nulls(len(p), f.type)) for f in STEP_ARROW}, STEP_ARROW).to_batches()
+        if enter.any():
+            row = {"kind": "run", **run_row(cell, topic, ids[enter], h[enter], [v[enter] for v in new])}
+            yield from pa.Table.from_pylist([row], STEP_ARROW).to_batches()
 
-def _merge_into(run: int):
-    def merge(key: tuple[pa.Scalar, ...], runs: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist([_run_row(key[0].as_py(), key[1].as_py(), run, *_Runs(runs).merged())], RUN_ARROW)
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (cell, topic), table in groups(batches, ("cell", "topic")):
+            yield from one(cell, topic, table)
 
-    return merge
-
-
-def _unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for r in batch.to_pylist():
-            ids = np.frombuffer(r["ids"], "S16")
-            t = np.frombuffer(r["t"], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r["topic"]] * len(ids)), _binary(ids), pa.array(t, mask=t == LAST), pa.array(np.frombuffer(r["b"], np.int64)),
-                    pa.array(np.frombuffer(r["p"], np.int32)), pa.array(np.frombuffer(r["o"], np.int64)),
-                ],
-                names=["topic", "id", "event_us", "batch_id", "kafka_partition", "kafka_offset"],
-            )
+    return settle
 
 
 class IdIndex:
-    """Index of identifiers over immutable sorted runs, one array per topic and hash prefix.
+    """Index of identifiers over immutable sorted runs, arrays per topic and hash prefix (see ``RunSet``).
 
     A batch is first deduplicated within each task, so that an identifier holding a
-    third of all rows sends one row a task; the survivors meet the runs of their
-    prefix, are searched there by bisection, and enter a new run if they are novel or
-    better than the delivery in force. Every ``merge_every`` batches the runs of a
-    prefix are merged into one. The manifest names the runs in force; a published batch
-    number is skipped, so replays change nothing.
+    third of all rows sends one row a task; the survivors are clustered by hash prefix,
+    searched by bisection in the runs' cells of these prefixes, which each task opens
+    itself, and enter a new run if they are novel or better than the delivery in force.
+    Only the batch's survivors are shuffled, however large the index. Runs of like size
+    are merged, so an identifier is rewritten a logarithmic number of times. The
+    manifest names the runs in force; a published batch number is skipped, so replays
+    change nothing. Batch numbers must rise.
 
     Preferred is the earliest event time (null last), then the lowest batch, partition
-    and offset. prefix_bits fixes the number of prefixes for the life of the index:
-    choose it so that a prefix holds a few 100,000 identifiers (see ``bits_for``).
+    and offset. Null and blank identifiers are none: such rows are left out, neither
+    kept nor duplicates. The same delivery seen again is no duplicate of itself.
+    prefix_bits is the least width of the prefix that cells are cut by (larger runs have
+    more cells by themselves); merge_every is the number of like runs that are merged.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, prefix_bits: int = 4, merge_every: int = 2):
-        self.spark, self.folder, self.bits, self.merge_every = spark, folder.rstrip("/"), prefix_bits, merge_every
-        self.manifest = Manifest(Folder(spark, folder))
-
-    @staticmethod
-    def bits_for(rows: int, per_prefix: int = 2**17, least: int = 4) -> int:
-        return max(least, math.ceil(math.log2(max(rows, 1) / per_prefix)))
+    def __init__(self, spark: SparkSession, folder: str, prefix_bits: int = 0, merge_every: int = FAN, **options):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.options = {"least_bits": prefix_bits, "fan": merge_every} | options
+        self.files = Folder(spark, folder)
+        self.manifest = Manifest(self.files)
 
     @staticmethod
     def deliveries(rows: DataFrame, topic: str, event_id: str = "event_id", time: str = "event_time") -> DataFrame:
@@ -206,59 +127,55 @@ class IdIndex:
                 uuid_bytes(F.col(event_id)).alias("id"),
                 F.coalesce(micros(F.col(time)), F.lit(LAST)).alias("t"),
                 F.coalesce(F.col("batch_id").cast("bigint"), F.lit(LAST)).alias("b"),
-                F.col("kafka_partition").cast("int").alias("p"),
-                F.col("kafka_offset").cast("bigint").alias("o"),
+                F.col("kafka_partition").cast("int").alias("kafka_partition"),
+                F.col("kafka_offset").cast("bigint").alias("kafka_offset"),
             )
         )
 
-    def _runs(self, state: dict) -> DataFrame:
-        if not state.get("runs"):
-            return self.spark.createDataFrame([], RUN)
-        return self.spark.read.schema(RUN).parquet(*(f"{self.folder}/{p}" for p in state["runs"]))
+    def _runs(self, state: dict) -> RunSet:
+        return RunSet(self.spark, self.folder, state, **self.options)
 
     def apply(self, batch: DataFrame, batch_no: int) -> None:
         """Take one batch of ``deliveries``."""
         number, state = self.manifest.load()
         if state and batch_no <= state["batch"]:
             return
-        state = state or {"runs": [], "dups": []}
-        prefix = F.shiftrightunsigned(F.xxhash64("id"), 64 - self.bits).cast("int") if self.bits else F.lit(0)
-        rows = batch.withColumn("prefix", prefix).select("topic", "prefix", "id", "t", "b", "p", "o")
-        rows.mapInArrow(_local, DELIVERY + ", dup boolean").write.mode("overwrite").partitionBy("dup").parquet(f"{self.folder}/local/batch={batch_no}")
-        local = self.spark.read.schema(DELIVERY + ", dup boolean").parquet(f"{self.folder}/local/batch={batch_no}")
-        alive = local.where("NOT dup").drop("dup").groupBy("topic", "prefix")
-        step = alive.cogroup(self._runs(state).groupBy("topic", "prefix")).applyInArrow(_settle_against(number + 1), STEP)
-        step.write.mode("overwrite").partitionBy("kind").parquet(f"{self.folder}/step/batch={batch_no}")
-        have = Folder(self.spark, f"{self.folder}/step/batch={batch_no}").listdir()
-        if "kind=run" in have:
-            state["runs"].append(f"step/batch={batch_no}/kind=run")
-        if "kind=dup" in have:
-            state["dups"].append(f"step/batch={batch_no}/kind=dup")
-        state.setdefault("local", []).append(f"local/batch={batch_no}")
-        if len(state["runs"]) > self.merge_every:
-            self._runs(state).groupBy("topic", "prefix").applyInArrow(_merge_into(number + 1), RUN).write.mode("overwrite").parquet(f"{self.folder}/merged/state={number + 1}")
-            state["runs"] = [f"merged/state={number + 1}"]
-        self.manifest.publish(number + 1, state | {"batch": batch_no})
+        runs = self._runs(state)
+        rows = batch.withColumn("h", prefix_of(F.col("id"))).select(*(c.partition(" ")[0] for c in DELIVERY.split(", ")))
+        at = f"{self.folder}/local/batch={batch_no}"
+        rows.mapInArrow(_local, DELIVERY + ", dup boolean").write.mode("overwrite").partitionBy("dup").parquet(at)
+        alive = self.spark.read.schema(DELIVERY + ", dup boolean").parquet(at).where("NOT dup").drop("dup")
+        bits = runs.bits_for(alive.count())  # from the files' footers
+        alive = alive.withColumn("cell", cell_of(F.col("h"), bits)).repartition("cell").sortWithinPartitions("cell", "topic")
+        step = f"step/batch={batch_no}"
+        alive.mapInArrow(_settle(runs.reader()), STEP).write.mode("overwrite").partitionBy("kind", "cell").parquet(f"{self.folder}/{step}")
+        entered = 0
+        if "kind=run" in self.files.listdir(step):
+            sizes = self.spark.read.parquet(f"{self.folder}/{step}/kind=run").select(F.sum(F.length("ids") / 16).cast("bigint"))
+            entered = sizes.first()[0]
+        runs.retired, gone = [], runs.retired
+        runs.add(f"{step}/kind=run", entered, bits)
+        self.manifest.publish(number + 1, runs.state | {"batch": batch_no})
+        for path in gone:
+            self.files.delete(path)
 
     def duplicates(self) -> DataFrame:
-        """Every delivery that isn't the one kept: topic, kafka_partition, kafka_offset."""
+        """Every delivery that isn't the one kept: topic, kafka_partition, kafka_offset; one scan, however many batches."""
         _, state = self.manifest.load()
-        read = self.spark.read
-        out = self.spark.createDataFrame([], "topic string, kafka_partition int, kafka_offset bigint")
-        if state.get("dups"):
-            out = out.union(read.schema("topic string, kafka_partition int, kafka_offset bigint").parquet(*(f"{self.folder}/{p}" for p in state["dups"])))
-        for p in state.get("local", []):
-            local = read.schema(DELIVERY + ", dup boolean").parquet(f"{self.folder}/{p}").where("dup")
-            out = out.union(local.select("topic", F.col("p").alias("kafka_partition"), F.col("o").alias("kafka_offset")))
+        out = self.spark.createDataFrame([], DUPLICATE)
+        if not state:
+            return out
+        done = F.col("batch") <= state["batch"]  # a batch that died before its manifest doesn't count
+        schema = DUPLICATE + ", batch int, "
+        for folder, more, mine in (("step", "kind string, cell int", "kind = 'dup'"), ("local", "dup boolean", "dup")):
+            rows = self.spark.read.schema(schema + more).parquet(f"{self.folder}/{folder}")
+            out = out.union(rows.where(done & F.expr(mine)).select(*out.columns))
         return out
 
     def kept(self) -> DataFrame:
         """The delivery in force of each identifier."""
-        _, state = self.manifest.load()
-        runs = self._runs(state)
-        if len(state.get("runs", [])) > 1:
-            runs = runs.groupBy("topic", "prefix").applyInArrow(_merge_into(0), RUN)
-        return runs.mapInArrow(_unfold, "topic string, id binary, event_us bigint, batch_id bigint, kafka_partition int, kafka_offset bigint")
+        entries = self._runs(self.manifest.load()[1]).entries()
+        return entries.select("topic", "id", F.when(F.col("t") < LAST, F.col("t")).alias("event_us"), F.col("b").alias("batch_id"), F.col("p").alias("kafka_partition"), F.col("o").alias("kafka_offset"))
 
 
 def build_index(topics: dict[str, DataFrame], batches: int = 3, folder: str | None = None, **options) -> IdIndex:
@@ -272,8 +189,8 @@ def build_index(topics: dict[str, DataFrame], batches: int = 3, folder: str | No
         one = IdIndex.deliveries(df, topic)
         rows = one if rows is None else rows.union(one)
     spark = rows.sparkSession
-    lo, hi, n = rows.where(F.col("b") < LAST).agg(F.min("b"), F.max("b"), F.count("*")).first()
-    index = IdIndex(spark, folder or new_folder(spark, "ids"), prefix_bits=IdIndex.bits_for(n or 0), **options)
+    lo, hi = rows.where(F.col("b") < LAST).agg(F.min("b"), F.max("b")).first()
+    index = IdIndex(spark, folder or new_folder(spark, "ids"), **options)
     if lo is None:
         lo = hi = 0
     cuts = [lo + math.ceil(k * (hi - lo + 1) / batches) for k in range(batches)]

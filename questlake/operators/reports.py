@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from questlake.functions.scalars import micros
+from questlake.functions.scalars import micros, ratio
 
 
 def dau_by_day(dau: DataFrame) -> DataFrame:
@@ -79,20 +80,23 @@ def minute_windows(events: DataFrame) -> DataFrame:
 
 def player_day_tumble(dwd: DataFrame) -> DataFrame:
     """Day windows per server and player with the streaming layer's measures."""
-    count = lambda kind: F.count_if(F.col("event_type") == kind)
-    return dwd.groupBy(F.window("event_time", "1 day").alias("w"), "server_id", "player_id").agg(
-        F.count("*").alias("event_cnt"), count("login").alias("login_cnt"), count("logout").alias("logout_cnt"),
-        count("enter_dungeon").alias("enter_dungeon_cnt"), count("recharge").alias("recharge_cnt"),
-        F.sum(F.when(F.col("event_type") == "recharge", F.coalesce("amount_fen", F.lit(0))).otherwise(0)).alias("recharge_fen"),
-        F.sum(F.when(F.col("event_type") == "logout", F.coalesce("online_sec", F.lit(0))).otherwise(0)).alias("online_sec_sum"),
-    ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "server_id", "player_id", "event_cnt", "login_cnt", "logout_cnt", "enter_dungeon_cnt", "recharge_cnt", "recharge_fen", "online_sec_sum")
+    count = lambda kind: F.count_if(F.col("event_type") == kind).alias(f"{kind}_cnt")
+    total = lambda kind, c: F.coalesce(F.sum(F.when(F.col("event_type") == kind, F.col(c).cast("bigint"))), F.lit(0).cast("bigint"))
+    days = dwd.groupBy(F.window("event_time", "1 day").alias("w"), "server_id", "player_id").agg(
+        F.count("*").alias("event_cnt"), count("login"), count("enter_dungeon"), count("clear_dungeon"), count("recharge"),
+        total("recharge", "amount_fen").alias("recharge_fen"), total("logout", "online_sec").alias("online_sec_sum"),
+    )
+    rest = [c for c in days.columns if c != "w"]
+    return days.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), F.to_date("w.start").alias("dt"), *rest)
 
 
 def dungeon_day_tumble(dwd: DataFrame) -> DataFrame:
+    """Clear rate in day windows per server and dungeon, for events that name one."""
     count = lambda kind: F.count_if(F.col("event_type") == kind)
-    return dwd.where("dungeon_id IS NOT NULL").groupBy(F.window("event_time", "1 day").alias("w"), "server_id", "dungeon_id").agg(
-        count("enter_dungeon").alias("enter_cnt"), count("clear_dungeon").alias("clear_cnt")
-    ).select(F.col("w.start").alias("window_start"), "server_id", "dungeon_id", "enter_cnt", "clear_cnt")
+    days = dwd.where("dungeon_id IS NOT NULL").groupBy(F.window("event_time", "1 day").alias("w"), "server_id", "dungeon_id")
+    counts = days.agg(count("enter_dungeon").alias("enter_cnt"), count("clear_dungeon").alias("clear_cnt"))
+    rate = ratio(F.col("clear_cnt"), F.col("enter_cnt")).alias("clear_rate")
+    return counts.select(F.to_date("w.start").alias("dt"), "server_id", "dungeon_id", "enter_cnt", "clear_cnt", rate, F.lit("ads_dungeon_clear_rate_di").alias("metric_id"))
 
 
 def latest_by_key(changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -102,34 +106,42 @@ def latest_by_key(changes: DataFrame, keys: list[str], order: list[str]) -> Data
     return last.where(F.col("_v").isNotNull()).select(*keys, "_v.*")
 
 
+def nearest_ranks(values: DataFrame, value: str, ranks: dict[str, Column], ranges: int = 64) -> DataFrame:
+    """One row: for each named rank (a Column over the number of values `n`, counted from 1) the value there; null if there are none.
+
+    Values are counted by value and fall into ranges between approximate percentiles (a
+    few dozen numbers). A rank is found by the number of values in the ranges before
+    and a running count within its own range, so no task holds all the distinct values.
+    """
+    counts = values.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    borders = sorted(set(counts.agg(F.percentile_approx("v", [k / ranges for k in range(1, ranges)])).first()[0] or []))
+    place = F.size(F.filter(F.array(*map(F.lit, borders)), lambda x: x < F.col("v"))) if borders else F.lit(0)
+    laid = counts.withColumn("_range", place)
+    sums = laid.groupBy("_range").agg(F.sum("c").alias("c"))  # a row a range
+    whole = W.orderBy("_range").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    before = sums.select("_range", (F.sum("c").over(W.orderBy("_range")) - F.col("c")).alias("_before"), F.sum("c").over(whole).alias("n"))
+    upto = F.sum("c").over(W.partitionBy("_range").orderBy("v")) + F.col("_before")
+    run = laid.join(F.broadcast(before), "_range").withColumn("upto", upto)
+    return run.agg(*(F.min(F.when(F.col("upto") >= rank, F.col("v"))).alias(name) for name, rank in ranks.items()))
+
+
 def latency_percentiles(rows: DataFrame, start: str = "produce_ts", end: str = "sink_ts") -> DataFrame:
     """Nearest-rank p50/p95/p99, average, extremes and negatives of end - start in ms; missing times don't count."""
-    ms = (micros(F.col(end)) - micros(F.col(start))) / F.lit(1000.0)
-    base = rows.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(ms.alias("ms"))
-    disc = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY ms)")
-    return base.agg(
-        F.count("*").alias("n"), F.round(F.avg("ms"), 3).alias("avg_ms"), disc(0.5).alias("p50_ms"), disc(0.95).alias("p95_ms"), disc(0.99).alias("p99_ms"),
-        F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"), F.count_if(F.col("ms") < 0).alias("negative_cnt"),
+    us = micros(F.col(end)) - micros(F.col(start))
+    base = rows.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(us.alias("us"))
+    ms = lambda c: (c / F.lit(1000.0))
+    plain = base.agg(
+        F.count("*").alias("n"), F.round(ms(F.sum("us")) / F.count("*"), 3).alias("avg_ms"), ms(F.min("us")).alias("min_ms"), ms(F.max("us")).alias("max_ms"),
+        F.count_if(F.col("us") < 0).alias("negative_cnt"),
     )
+    at = nearest_ranks(base, "us", {f"p{p}_ms": F.ceil(F.col("n") * p / 100) for p in (50, 95, 99)})
+    both = plain.crossJoin(at.select(*(ms(F.col(c)).alias(c) for c in at.columns)))  # one row each
+    return both.select("n", "avg_ms", "p50_ms", "p95_ms", "p99_ms", "min_ms", "max_ms", "negative_cnt")
 
 
 def duration_stats(rows: DataFrame, value: str) -> DataFrame:
-    """Count, average, upper median (the n div 2-th from 0), nearest-rank p95 and extremes of durations.
-
-    The upper median is the smallest value whose rank exceeds n / 2; both percentiles
-    come from value counts, so no list of all values is built.
-    """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    total = counts.agg(F.sum("c").alias("n"))
-    from pyspark.sql import Window as W
-
-    # value counts are summed by value in one ordered pass over distinct values
-    run = counts.withColumn("upto", F.sum("c").over(W.orderBy("v"))).crossJoin(F.broadcast(total))
-    return run.agg(
-        F.max("n").alias("n"),
-        F.round(F.sum(F.col("v") * F.col("c")) / F.max("n"), 2).alias("avg_ms"),
-        F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("v"))).alias("p50_ms"),
-        F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * 0.95), F.col("v"))).alias("p95_ms"),
-        F.min("v").alias("min_ms"),
-        F.max("v").alias("max_ms"),
-    )
+    """Count, average, upper median (the n div 2-th from 0), nearest-rank p95 and extremes of durations."""
+    known = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("v"))
+    plain = known.agg(F.count("*").alias("n"), F.round(F.sum("v") / F.count("*"), 2).alias("avg_ms"), F.min("v").alias("min_ms"), F.max("v").alias("max_ms"))
+    at = nearest_ranks(known, "v", {"p50_ms": F.floor(F.col("n") / 2) + 1, "p95_ms": F.ceil(F.col("n") * 0.95)})
+    return plain.crossJoin(at).select("n", "avg_ms", "p50_ms", "p95_ms", "min_ms", "max_ms")  # one row each

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 
 from questlake.functions.scalars import event_type_name, iso_timestamp, promoted
 from questlake.operators import features, id_index, late_events, layers, metrics, quality, reports, rolling, sessions
+from questlake.schema import FEATURE_TYPES
 from questlake.sources import ods as sources
 from questlake.sources.generator import generate_events
+from questlake.workspace import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -112,15 +115,32 @@ def p5_sessions(spark: SparkSession, d: str) -> DataFrame:
     return s.select("player_id", "session_no", "start_us", "end_us", (F.col("end_us") - F.col("start_us")).alias("duration_us"), "row_cnt", "event_cnt")
 
 
-def p7_features(spark: SparkSession, d: str) -> DataFrame:
+def _feature_store(spark: SparkSession, d: str, parts: int = 2) -> features.FeatureStore:
+    """Vectors of the raw events, maintained over equal spans of event_time (rows without a time come first)."""
     t = _played(spark, d)
     events = t.select(
         "event_id", "player_id", "event_time", event_type_name(F.col("event_type")).alias("event_type"),
         promoted(F.col("amount_fen"), F.col("payload"), "amount_fen", "bigint").alias("amount_fen"),
         promoted(F.col("online_sec"), F.col("payload"), "online_sec", "int").alias("online_sec"),
     )
-    types = features.type_dictionary(t.select(event_type_name(F.col("event_type")).alias("event_type")), "event_type")
-    return features.feature_table(events, "player_id", "event_type", "event_time", ["amount_fen", "online_sec"], event_id="event_id", types=types)
+    store = features.FeatureStore(spark, new_folder(spark, "features"), ["amount_fen", "online_sec"], types=FEATURE_TYPES)
+    lo, hi = t.agg(F.min(F.to_date("event_time")), F.max(F.to_date("event_time"))).first()
+    span = (hi - lo).days + 1 if lo else parts
+    cut = lambda k: F.lit(str(lo + dt.timedelta(days=k * span // parts))).cast("timestamp_ntz")
+    for k in range(parts if lo else 1):
+        mine = F.lit(True) if k == 0 else F.col("event_time") >= cut(k)
+        if lo and k < parts - 1:
+            mine = mine & ((F.col("event_time") < cut(k + 1)) | (F.col("event_time").isNull() if k == 0 else F.lit(False)))
+        store.add(events.where(mine), k, "player_id", "event_type", "event_time", "event_id")
+    return store
+
+
+def p7_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return _feature_store(spark, d).named("player_id")
+
+
+def p7_features(spark: SparkSession, d: str) -> DataFrame:
+    return _feature_store(spark, d).table("player_id")
 
 
 P7_COUNTS = ("event_cnt", "session_cnt", "login_cnt", "logout_cnt", "enter_dungeon_cnt", "clear_dungeon_cnt", "death_cnt", "recharge_cnt", "recharge_fen", "online_sec_sum")
@@ -175,6 +195,7 @@ def queries() -> dict[str, Query]:
         "p4_kept": p4_kept,
         "p5_found": p5_found,
         "p5_sessions": p5_sessions,
+        "p7_vectors": p7_vectors,
         "p7_features": p7_features,
         "p7_daily_totals": p7_daily_totals,
     }

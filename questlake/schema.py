@@ -21,6 +21,14 @@ EVENT_TYPES = (
     "logout",
 )
 
+#: Client telemetry types are named area_action; with the eleven types they are the columns of the feature table (others are added as they turn up).
+TELEMETRY_AREAS = ("arena", "guild", "mail", "net", "perf", "pet", "quest", "shop", "tut", "ui", "voice")
+TELEMETRY_ACTIONS = (
+    "claim", "close", "drop", "end", "expire", "fail", "hint", "load", "open", "pull",
+    "push", "retry", "save", "skip", "start", "swap", "sync", "tap", "view", "warn",
+)
+FEATURE_TYPES = (*EVENT_TYPES, *(f"{area}_{action}" for area in TELEMETRY_AREAS for action in TELEMETRY_ACTIONS))
+
 #: Raw JSON envelope as it arrives; event_time is ISO-8601 text.
 ENVELOPE = T.StructType(
     [

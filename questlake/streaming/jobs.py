@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from questlake.operators import metrics, reports
+from questlake.operators.event_store import Change, EventStore
 from questlake.operators.keyed_table import KeyedTable
-from questlake.operators.layers import TIE_BREAK, dungeon_day, first_wins, player_day, valid_events
+from questlake.operators.layers import dungeon_day, player_day, valid_events
 from questlake.schema import EVENT_TYPES, ODS_COLUMNS, PROMOTED
 from questlake.sources.ods import flatten
 
@@ -42,29 +44,12 @@ def minute_windows(events: DataFrame, delay: str = "5 seconds") -> DataFrame:
 
 def player_day_windows(dwd: DataFrame, delay: str = "10 seconds") -> DataFrame:
     """Player-day measures, given once per key when the day has closed."""
-    count = lambda kind: F.count_if(F.col("event_type") == kind)
-    value = lambda kind, c: F.sum(F.when(F.col("event_type") == kind, F.coalesce(F.col(c).cast("bigint"), F.lit(0))).otherwise(0))
-    return (
-        dwd.withWatermark("event_time", delay)
-        .groupBy(F.window("event_time", "1 day").alias("w"), "server_id", "player_id")
-        .agg(
-            F.count("*").alias("event_cnt"), count("login").alias("login_cnt"), count("logout").alias("logout_cnt"), count("enter_dungeon").alias("enter_dungeon_cnt"),
-            count("recharge").alias("recharge_cnt"), value("recharge", "amount_fen").alias("recharge_fen"), value("logout", "online_sec").alias("online_sec_sum"),
-        )
-        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "server_id", "player_id", "event_cnt", "login_cnt", "logout_cnt", "enter_dungeon_cnt", "recharge_cnt", "recharge_fen", "online_sec_sum")
-    )
+    return reports.player_day_tumble(dwd.withWatermark("event_time", delay))
 
 
 def dungeon_day_windows(dwd: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """Dungeon-day counts when the day has closed; only events that name a dungeon move the watermark."""
-    count = lambda kind: F.count_if(F.col("event_type") == kind)
-    return (
-        dwd.where("dungeon_id IS NOT NULL")
-        .withWatermark("event_time", delay)
-        .groupBy(F.window("event_time", "1 day").alias("w"), "server_id", "dungeon_id")
-        .agg(count("enter_dungeon").alias("enter_cnt"), count("clear_dungeon").alias("clear_cnt"))
-        .select(F.col("w.start").alias("window_start"), "server_id", "dungeon_id", "enter_cnt", "clear_cnt")
-    )
+    """Clear rate per dungeon when the day has closed; only events that name a dungeon move the watermark."""
+    return reports.dungeon_day_tumble(dwd.where("dungeon_id IS NOT NULL").withWatermark("event_time", delay))
 
 
 def daily_gauge(events: DataFrame) -> DataFrame:
@@ -84,8 +69,8 @@ def recharge_gauge(events: DataFrame) -> DataFrame:
 
 
 def passthrough(events: DataFrame) -> DataFrame:
-    """Stateless filter with a processing-time stamp (constant within a micro-batch)."""
-    return events.where("event_id IS NOT NULL").withColumn("sink_ts", F.current_timestamp())
+    """Stateless filter (id, player and time of publishing are there) with a processing-time stamp, constant within a micro-batch."""
+    return events.where("event_id IS NOT NULL AND player_id IS NOT NULL AND produce_ts IS NOT NULL").withColumn("sink_ts", F.current_timestamp())
 
 
 def to_keyed(updates: DataFrame, table: KeyedTable, checkpoint: str, **trigger) -> StreamingQuery:
@@ -94,50 +79,21 @@ def to_keyed(updates: DataFrame, table: KeyedTable, checkpoint: str, **trigger)
     return updates.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(**(trigger or {"availableNow": True})).start()
 
 
-class ExactGauge:
-    """Daily gauge in exact first-wins mode: a replay with an earlier time moves the event to its day.
-
-    Each batch merges its events into a keyed copy of the clean events (earliest time
-    per id) and recomputes the touched (day, server) gauges from it; several results
-    can be fed from the one batch. State lives in tables, not in the stream.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark = spark
-        self.events = KeyedTable(spark, f"{folder}/events", "event_id string, event_type string, event_time timestamp, player_id bigint, server_id int, bucket int", ["event_id"], part="bucket")
-        self.gauge = KeyedTable(spark, f"{folder}/gauge", GAUGE, ["dt", "server_id"], part="dt")
-
-    def __call__(self, batch: DataFrame, batch_id: int, buckets: int = 8) -> None:
-        new = valid_events(batch).select("event_id", "event_type", F.col("event_time").cast("timestamp").alias("event_time"), "player_id", "server_id").where("server_id IS NOT NULL")
-        new = new.withColumn("bucket", F.pmod(F.xxhash64("event_id"), F.lit(buckets)).cast("int"))
-        new = new.groupBy("event_id", "bucket").agg(F.min_by(F.struct("event_type", "event_time", "player_id", "server_id"), F.struct("event_time", "player_id", "server_id")).alias("v")).select("event_id", "v.*", "bucket").persist()
-        old = self.events.read().join(new.select("event_id"), "event_id", "left_semi").persist()
-        both = new.withColumn("_new", F.lit(1)).unionByName(old.withColumn("_new", F.lit(0)))
-        best = both.groupBy("event_id", "bucket").agg(F.min_by(F.struct("event_type", "event_time", "player_id", "server_id", "_new"), F.struct("event_time", "_new")).alias("v")).select("event_id", "v.*", "bucket")
-        touched = new.select(F.to_date("event_time").alias("dt"), "server_id").union(old.select(F.to_date("event_time").alias("dt"), "server_id")).distinct().persist()
-        touched.count()
-        self.events.merge(best.where("_new = 1").drop("_new").withColumn("op", F.lit("upsert")), batch_id)
-        again = self.events.read().withColumn("dt", F.to_date("event_time")).join(touched, ["dt", "server_id"], "left_semi")
-        players = again.groupBy("dt", "server_id", "player_id").agg(F.max(F.when(F.col("event_type") == "recharge", 1).otherwise(0)).alias("p"))
-        fresh = players.groupBy("dt", "server_id").agg(F.count("*").alias("dau"), F.sum("p").alias("pay_users"))
-        fresh = touched.join(fresh, ["dt", "server_id"], "left").withColumn("pay_rate", F.col("pay_users").cast("double") / F.col("dau"))
-        self.gauge.merge(fresh.withColumn("op", F.when(F.col("dau").isNull(), "delete").otherwise("upsert")), batch_id)
-        for df in (new, old, touched):
-            df.unpersist()
-
-
 class LiveMetrics:
-    """DAU, pay rate, ARPU, online duration, clear rate and the recharge total, corrected with every batch of raw ODS rows.
+    """Several results of one stream: the metrics and the player-day and dungeon-day tables, corrected with every batch of raw rows.
 
     Each batch settles the earliest row per id against the kept events, recomputes the
-    player-days and dungeon-days of the (day, server) pairs it touches, and from these
+    player-days and dungeon-days of the (day, server) pairs it changes, and from these
     the metric rows; what no longer exists is deleted. The result is that of the batch
     layers in any order of arrival, but for null servers: these can't be a key, so they
-    only count in the recharge total, which is recomputed whole. Events are published
-    last, so that a batch replayed after a crash finds the same old rows and retracts
-    them again; finished tables skip it.
+    only count in the recharge total. That comes from a table of paying players, of
+    which a batch changes only its own players' rows.
+
+    Events are put in force last, so that a batch replayed after a crash at any point
+    finds the same change and retracts the same rows; finished tables skip it.
     """
 
+    COLUMNS = "event_id string, event_type string, event_time timestamp, player_id bigint, role_id bigint, server_id int, session_id string, payload string"
     COUNTS = ", ".join(f"{c} bigint" for c in ("event_cnt", "session_cnt", "login_cnt", "logout_cnt", "enter_dungeon_cnt", "clear_dungeon_cnt", "death_cnt", "recharge_cnt", "recharge_fen", "online_sec_sum"))
     TABLES = {
         "dws_player_behavior_di": f"dt date, server_id int, player_id bigint, {COUNTS}, first_event_time timestamp, last_event_time timestamp",
@@ -150,38 +106,87 @@ class LiveMetrics:
     }
     THIRD = {"dws_player_behavior_di": ["player_id"], "dws_dungeon_behavior_di": ["dungeon_id"], "ads_dungeon_clear_rate_di": ["dungeon_id"]}
 
-    def __init__(self, spark: SparkSession, folder: str):
-        raw = "event_id string, event_type string, event_time timestamp, player_id bigint, role_id bigint, server_id int, session_id string, payload string, bucket int"
-        self.events = KeyedTable(spark, f"{folder}/events", raw, ["event_id"], part="bucket")
-        self.tables = {name: KeyedTable(spark, f"{folder}/{name}", schema, ["dt", "server_id", *self.THIRD.get(name, [])]) for name, schema in self.TABLES.items()}
+    def __init__(self, spark: SparkSession, folder: str, only: Sequence[str] | None = None):
+        self.store = EventStore(spark, f"{folder}/kept", self.COLUMNS)
+        self.tables = {name: KeyedTable(spark, f"{folder}/{name}", schema, ["dt", "server_id", *self.THIRD.get(name, [])]) for name, schema in self.TABLES.items() if only is None or name in only}
+        self.payers = KeyedTable(spark, f"{folder}/payers", "player_id bigint, cnt bigint, fen bigint, bucket int", ["player_id"], part="bucket")
         self.recharges = KeyedTable(spark, f"{folder}/recharge", "agg_key string, recharge_cnt bigint, recharge_sum decimal(18,2), players bigint", ["agg_key"], part="agg_key")
 
+    @property
+    def events(self) -> KeyedTable:
+        return self.store.events
+
     @staticmethod
-    def _replace(table: KeyedTable, fresh: DataFrame, old: DataFrame, batch_id: int) -> None:
+    def _replace(table: KeyedTable, fresh: DataFrame, change: Change) -> None:
+        """The table's rows of the touched pairs become ``fresh``."""
+        if table.seen(change.batch_id):
+            return
+        days = [r[0] for r in change.touched.select("dt").distinct().collect()]  # calendar days
+        old = table.read(days).join(change.touched, ["dt", "server_id"], "left_semi")
         fresh = fresh.select(*table.schema.names)
         gone = old.join(fresh.select(*table.keys), table.keys, "left_anti")
-        table.merge(fresh.withColumn("op", F.lit("upsert")).unionByName(gone.withColumn("op", F.lit("delete"))), batch_id)
-
-    def __call__(self, batch: DataFrame, batch_id: int, buckets: int = 8) -> None:
+        table.merge(fresh.withColumn("op", F.lit("upsert")).unionByName(gone.withColumn("op", F.lit("delete"))), change.batch_id)
+
+    def _pay(self, change: Change, buckets: int = 64) -> None:
+        """Payers' counts and amounts, changed by the rows that enter and leave; the total is read off them."""
+        signed = flatten(change.entering.withColumn("_sign", F.lit(1)).unionByName(change.leaving.withColumn("_sign", F.lit(-1))).where("event_type = 'recharge'"))
+        delta = signed.where("amount_fen IS NOT NULL").groupBy("player_id").agg(F.sum("_sign").alias("_c"), F.sum(F.col("_sign") * F.col("amount_fen")).alias("_f"))
+        bucket = F.pmod(F.xxhash64("player_id"), F.lit(buckets)).cast("int")
+        if not self.payers.seen(change.batch_id):
+            whole = delta.join(self.payers.read().drop("bucket"), "player_id", "left")
+            fresh = whole.select("player_id", (F.coalesce("cnt", F.lit(0)) + F.col("_c")).alias("cnt"), (F.coalesce("fen", F.lit(0)) + F.col("_f")).alias("fen"), bucket.alias("bucket"))
+            self.payers.merge(fresh.withColumn("op", F.when(F.col("cnt") > 0, "upsert").otherwise("delete")), change.batch_id)
+        total = self.payers.read().agg(F.sum("cnt").alias("n"), F.sum("fen").alias("f"), F.count("*").alias("players"))
+        amount = (F.col("f").cast("decimal(20,2)") / F.lit(100)).cast("decimal(18,2)")
+        row = total.where("players > 0").select(F.lit("recharge_total").alias("agg_key"), F.col("n").alias("recharge_cnt"), amount.alias("recharge_sum"), "players")
+        self.recharges.merge(row.withColumn("op", F.lit("upsert")), change.batch_id)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        if self.store.events.seen(batch_id):
+            return
         raw = valid_events(batch.select(*(c for c in ODS_COLUMNS if c not in PROMOTED))).drop("dt").withColumn("event_time", F.col("event_time").cast("timestamp"))
-        new = first_wins(raw).withColumn("bucket", F.pmod(F.xxhash64("event_id"), F.lit(buckets)).cast("int")).persist()
-        kept = self.events.read()
-        old = kept.join(new.select("event_id"), "event_id", "left_semi").persist()
-        best = first_wins(new.unionByName(old), ties=TIE_BREAK).persist()
-        touched = new.unionByName(old).select(F.to_date("event_time").alias("dt"), "server_id").where("server_id IS NOT NULL").distinct().persist()
-        after = kept.join(new.select("event_id"), "event_id", "left_anti").unionByName(best).withColumn("dt", F.to_date("event_time"))
-        dwd = flatten(after.join(touched, ["dt", "server_id"], "left_semi"))
+        change = self.store.settle(raw, batch_id)
+        # one parse and one aggregation for all tables; null servers are no keys
+        dwd = flatten(self.store.after(change).where("server_id IS NOT NULL"))
         days, dungeons = player_day(dwd).persist(), dungeon_day(dwd).persist()
-        fresh = {"dws_player_behavior_di": days, "dws_dungeon_behavior_di": dungeons}
+        paired = replace(change, touched=change.touched.where("server_id IS NOT NULL"))
+        fresh = {"dws_player_behavior_di": days, "dws_dungeon_behavior_di": dungeons, "ads_dungeon_clear_rate_di": metrics.dungeon_clear_rate(dungeons)}
         fresh |= {"ads_dau_di": metrics.dau(days), "ads_pay_rate_di": metrics.pay_rate(days), "ads_arpu_di": metrics.arpu(days), "ads_online_duration_di": metrics.online_duration(days)}
-        fresh["ads_dungeon_clear_rate_di"] = metrics.dungeon_clear_rate(dungeons)
-        total = reports.recharge_total(flatten(after.where("event_type = 'recharge'"))).where("recharge_cnt > 0")
-        work = [(table, fresh[name], table.read().join(touched, ["dt", "server_id"], "left_semi"), batch_id) for name, table in self.tables.items()]
         with ThreadPoolExecutor(8) as pool:  # the tables don't depend on each other
-            list(pool.map(lambda args: self._replace(*args), [*work, (self.recharges, total, self.recharges.read(), batch_id)]))
-        self.events.merge(best.withColumn("op", F.lit("upsert")), batch_id)
-        for df in (new, old, best, touched, days, dungeons):
+            jobs = [pool.submit(self._replace, table, fresh[name], paired) for name, table in self.tables.items()]
+            for job in [*jobs, pool.submit(self._pay, change)]:
+                job.result()
+        for df in (days, dungeons):
             df.unpersist()
+        self.store.commit(change)
+
+
+class ExactGauge:
+    """Daily gauge (DAU, payers, pay rate) in exact first-wins mode: a replay with an earlier time moves the event to its day.
+
+    The same way of working as ``LiveMetrics``, for events without a payload: the gauges
+    of the changed (day, server) pairs are recomputed from the kept events and
+    published first, the events last. Null servers can't be a key and are left out.
+    """
+
+    COLUMNS = "event_id string, event_type string, event_time timestamp, player_id bigint, server_id int"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.store = EventStore(spark, f"{folder}/kept", self.COLUMNS)
+        self.gauge = KeyedTable(spark, f"{folder}/gauge", GAUGE, ["dt", "server_id"])
+
+    @property
+    def events(self) -> KeyedTable:
+        return self.store.events
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        if self.store.events.seen(batch_id):
+            return
+        new = valid_events(batch).where("server_id IS NOT NULL").withColumn("event_time", F.col("event_time").cast("timestamp"))
+        change = self.store.settle(new, batch_id)
+        base = reports.event_pay_rate(self.store.after(change))
+        LiveMetrics._replace(self.gauge, base, change)
+        self.store.commit(change)
 
 
 def supervise(start: Callable[[], StreamingQuery], attempts: int = 10, delay: float = 5.0, sleep: Callable[[float], None] = time.sleep) -> int:

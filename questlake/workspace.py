@@ -43,7 +43,12 @@ def materialise(df: DataFrame, folder: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """For work that is heavy per row: a table that comes in fewer pieces than there are cores is dealt out evenly."""
+    """For work that is heavy per row: a table that comes in fewer pieces than there are cores is dealt out evenly.
+
+    Such a table is small beside the cluster: it has at most cores times
+    ``spark.sql.files.maxPartitionBytes`` (128 MB a core by default), so no task sends
+    more than it would have read for itself. Larger tables are left as they lie.
+    """
     planned = df._jdf.queryExecution()
     if "Exchange" in planned.executedPlan().toString():  # counting pieces would run it
         return df
@@ -127,9 +132,12 @@ class Manifest:
     """Numbered, immutable states of a table; the highest number is the current one.
 
     A state is a small JSON object (file lists and the last batch), never data. A
-    writer that dies before publishing leaves the former state in force.
+    writer that dies before publishing leaves the former state in force. The last
+    ``KEEP`` states stay, for readers that are under way; older ones are deleted.
     """
 
+    KEEP = 5
+
     def __init__(self, folder: Folder, name: str = "manifest"):
         self.folder, self.name = folder, name
 
@@ -142,3 +150,5 @@ class Manifest:
     def publish(self, number: int, state: dict) -> None:
         if not self.folder.publish(f"{self.name}/{number:09d}.json", json.dumps(state, sort_keys=True)):
             raise RuntimeError(f"state {number} of {self.folder.path} was published by another writer")
+        if number > self.KEEP:
+            self.folder.delete(f"{self.name}/{number - self.KEEP:09d}.json")

@@ -72,6 +72,18 @@ def test_late_events_replay_and_crash_change_nothing(spark, tmp_path):
     assert c.apply(df, 1) == 0 or sorted(map(tuple, c.figures().collect()), key=str) == before
 
 
+def test_late_events_let_go_of_what_is_over(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(late_events, "CLOSED", 3)
+    rows = [(f"e{h}-{i}", "login", T0 + dt.timedelta(hours=h, minutes=i), i, 1, None, T0, T0 + dt.timedelta(hours=h, minutes=i + 2), "", "") for h in range(8) for i in range(3)]
+    c = late_events.LateCorrector(spark, f"file://{tmp_path}")
+    for k in range(8):
+        c.apply(spark.createDataFrame(rows[3 * k : 3 * k + 3], LATE), k)
+    state = c.manifest.load()[1]
+    assert len(state["raw"]) <= 3 and state["closed"] and len(state["figures"]) < 8
+    assert len(c.files.listdir("novel/batch=0")) == 0 or not c.files.listdir("novel/batch=0/kept=true")
+    assert c.figures().count() == 24 and c.figures().agg(F.sum("event_cnt")).first()[0] == 24
+
+
 def test_late_events_empty(spark):
     assert late_events.corrected_figures(spark.createDataFrame([], LATE)).count() == 0
 
@@ -170,6 +182,31 @@ def test_id_index_replay_and_empty(spark, tmp_path):
     assert {r.kafka_offset for r in index.duplicates().collect()} == set(range(3, 9))
 
 
+def test_a_batch_costs_the_same_however_large_the_index(spark, tmp_path):
+    """Ten batches: what is shuffled for ten rows doesn't grow, merges stay few, and every run in force is needed."""
+    index = id_index.IdIndex(spark, f"file://{tmp_path}", per_cell=500)
+    rows = lambda lo, n: spark.range(lo, lo + n).select(F.md5(F.col("id").cast("string")).alias("event_id"), F.lit(T0).cast("timestamp_ntz").alias("event_time"), F.lit(1).alias("batch_id"), F.lit(0).alias("kafka_partition"), F.col("id").alias("kafka_offset"))
+    store = spark._jsc.sc().statusStore()
+
+    def shuffled():
+        spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        gateway = spark.sparkContext._gateway
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    small = []
+    for k in range(5):
+        index.apply(index.deliveries(rows(k * 4000, 4000), "a"), 2 * k)
+        before = shuffled()
+        index.apply(index.deliveries(rows(k * 4000, 10), "a"), 2 * k + 1)
+        small.append(shuffled() - before)
+    assert max(small) < 20_000 and small[-1] < 1.5 * small[0]
+    state = index.manifest.load()[1]
+    assert sum(r["rows"] for r in state["runs"]) == 20_000 and len(state["runs"]) <= 4
+    assert len(index.manifest.folder.listdir("manifest")) <= index.manifest.KEEP
+    assert index.kept().count() == 20_000
+
+
 def test_canonical_uuid(spark):
     u = "0A1b2c3d-0000-4000-8000-00000000000F"
     rows = [(spelled(u, i),) for i in range(7)] + [(None,), ("",), (" \t",), ("xyz",), ("XYZ ",)]
@@ -208,6 +245,31 @@ def test_sessions_equal_brute_force(spark, seed):
     assert got == sorted(want)
 
 
+def test_an_identifier_counts_once_a_session_wherever_it_falls(spark):
+    """Copies at 00:20 and 00:40 are in one session as much as copies at 00:02 and 00:22; a session later it counts again."""
+    at = lambda minute: T0 + dt.timedelta(minutes=minute)
+    rows = [("a", 1, at(20)), ("a", 1, at(40)), ("a", 1, at(65)), ("b", 1, at(66)), ("a", 1, at(200)), ("b", 1, at(229)), ("a", 1, at(231)), (None, 1, at(232)), ("c", 2, at(2)), ("c", 2, at(22))]
+    got = sessions.sessions(spark.createDataFrame([(*r, 0, 0) for r in rows], EVENTS), event_id="event_id").collect()
+    assert sorted((r.player_id, r.session_no, r.row_cnt, r.event_cnt) for r in got) == [(1, 1, 4, 2), (1, 2, 4, 3), (2, 1, 2, 1)]
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_session_identifiers_equal_brute_force_over_many_bins(spark, seed):
+    rng = random.Random(seed)
+    rows = [(f"e{rng.randrange(25)}" if rng.random() < 0.9 else None, rng.choice((1, 2)), T0 + dt.timedelta(seconds=rng.randrange(0, 86_400 * 2, 60)), 0, 0) for _ in range(300)]
+    got = {(r.player_id, r.session_no): r.event_cnt for r in sessions.sessions(spark.createDataFrame(rows, EVENTS), event_id="event_id").collect()}
+    want = {}
+    for p in (1, 2):
+        no, last, seen = 0, None, []
+        for t, e in sorted(((r[2], r[0]) for r in rows if r[1] == p), key=lambda x: x[0]):
+            if last is None or t - last > dt.timedelta(minutes=30):
+                no, seen = no + 1, []
+            seen.append(e)
+            last = t
+            want[(p, no)] = len(set(seen) - {None}) + seen.count(None)
+    assert got == want
+
+
 def test_sessions_empty_and_without_ids(spark):
     assert sessions.sessions(spark.createDataFrame([], EVENTS)).count() == 0
     one = sessions.sessions(spark.createDataFrame([("a", 1, T0, 0, 0)], EVENTS)).collect()
@@ -242,6 +304,40 @@ def test_feature_vectors_merge(spark):
     assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, whole.collect()))
 
 
+def test_an_event_that_lands_in_two_parts_counts_once(spark, tmp_path):
+    when = lambda s: T0 + dt.timedelta(seconds=s)
+    first = [(1, "pay", when(1), 5, "a", "x", 0), (1, "pay", when(1), 5, "a", "x", 0), (1, "pay", when(2), 7, None, "x", 0), (2, "login", when(3), None, "b", "x", 0)]
+    second = [(1, "pay", when(1), 5, "a", "x", 0), (1, "pay", when(9), 1, "c", "x", 0), (1, "pay", when(4), 2, None, "x", 0), (1, "new", when(8), None, "a", "x", 0), (None, "pay", when(1), 1, "z", "x", 0)]
+    store = features.FeatureStore(spark, f"file://{tmp_path}", ["amount_fen"])
+    for part, rows in enumerate((first, second, second[:0])):
+        for _ in range(2):  # the second time is a replay
+            store.add(spark.createDataFrame(rows, FEATURES), part, "player_id", "event_type", "event_time", "event_id")
+    assert store.types == ["login", "pay", "new"]  # indices stay, new names go to the end
+    got = {(r.player_id, r.event_type): (r.cnt, r.last, r.amount_fen) for r in store.named("player_id").collect()}
+    assert got == {(1, "pay"): (4, when(9), 15), (1, "new"): (1, when(8), None), (2, "login"): (1, when(3), None)}
+    wide = {r.player_id: r for r in store.table("player_id").collect()}
+    assert (wide[1].pay_cnt, wide[1].pay_amount_fen, wide[1].login_cnt, wide[2].login_cnt) == (4, 15, 0, 1)
+
+
+def test_feature_store_crash_and_empty(spark, tmp_path):
+    store = features.FeatureStore(spark, f"file://{tmp_path}", ["amount_fen"])
+    assert store.vectors().count() == 0
+    df = spark.createDataFrame([(1, "pay", T0, 5, "a", "x", 0)], FEATURES)
+    publish, store.manifest.publish = store.manifest.publish, lambda *_: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        store.add(df, 0, "player_id", "event_type", "event_time", "event_id")
+    store.manifest.publish = publish
+    assert store.vectors().count() == 0
+    store.add(df, 0, "player_id", "event_type", "event_time", "event_id")
+    assert [(r.cnt, r.amount_fen) for r in store.named("player_id").collect()] == [(1, 5)]
+
+
+def test_a_type_that_is_not_in_the_dictionary_is_an_error(spark):
+    df = spark.createDataFrame([(1, "pay", T0, 5, "a", "x", 0), (1, "other", T0, 5, "b", "x", 0)], FEATURES)
+    with pytest.raises(Exception, match="type not in the dictionary: other"):
+        features.feature_table(df, "player_id", "event_type", "event_time", ["amount_fen"], types=["pay"]).collect()
+
+
 def test_feature_table_empty_and_bounded(spark):
     empty = spark.createDataFrame([], FEATURES)
     out = features.feature_table(empty, "player_id", "event_type", "event_time", [])

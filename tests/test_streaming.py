@@ -5,6 +5,7 @@ from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from questlake.operators.keyed_table import KeyedTable
 from questlake.schema import RECHARGE_EVENT, STREAM_EVENT
@@ -99,8 +100,6 @@ def test_day_windows_close_once(spark, tmp_path):
     topic = FileTopic(str(tmp_path / "in"))
     rows = [ev("a", "enter_dungeon", 0, 1) | {"dungeon_id": 7}, ev("b", "recharge", 1, 1) | {"amount_fen": 5}, ev("c", "logout", 2, 1) | {"online_sec": 9}, ev("d", "death", 86_400 * 2, 2) | {"dungeon_id": 8}]
     topic.produce(rows)
-    from pyspark.sql import types as T
-
     events = stream_ndjson(spark, str(tmp_path / "in"), T._parse_datatype_string(schema))
     for name, job in (("players", jobs.player_day_windows), ("dungeons", jobs.dungeon_day_windows)):
         q = job(events).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
@@ -112,8 +111,10 @@ def test_day_windows_close_once(spark, tmp_path):
 
 def test_passthrough_clean_stream_and_supervisor(spark, tmp_path):
     topic = FileTopic(str(tmp_path / "in"))
-    topic.produce([*DISORDER, ev(None, "login", 1, 1), ev("x", "nonsense", 1, 1)])
-    events = stream_ndjson(spark, str(tmp_path / "in"), STREAM_EVENT)
+    stamp = {"produce_ts": "2026-09-07 10:00:09.250"}
+    whole = [row | stamp for row in DISORDER]
+    topic.produce([*whole, ev(None, "login", 1, 1) | stamp, ev("x", "nonsense", 1, 1) | stamp, ev("no player", "login", 1, None) | stamp, ev("never published", "login", 1, 1)])
+    events = stream_ndjson(spark, str(tmp_path / "in"), T.StructType([*STREAM_EVENT, T.StructField("produce_ts", T.TimestampType())]))
     tries = []
 
     def start():
@@ -125,9 +126,27 @@ def test_passthrough_clean_stream_and_supervisor(spark, tmp_path):
     assert jobs.supervise(start, sleep=lambda s: None) == 2
     through = spark.table("through")
     assert through.count() == 13 and through.where(F.col("sink_ts").isNull()).count() == 0
+    assert {r.event_id for r in through.collect()} == {r["event_id"] for r in whole} | {"x"}
     for horizon, name in ((False, "life"), (True, "bounded")):
         jobs.clean_stream(events, horizon=horizon).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
-        assert spark.table(name).select("event_id").distinct().count() == spark.table(name).count() == 11
+        assert spark.table(name).select("event_id").distinct().count() == spark.table(name).count() == 12
+
+
+@pytest.mark.parametrize("broken", ["gauge", "events"])
+def test_exact_gauge_keeps_retractions_over_a_crash(spark, tmp_path, broken):
+    """Killed at either publish, the batch that moves an event to another day still empties its former day."""
+    rows = lambda *xs: spark.createDataFrame([(i, "login", dt.datetime(2024, 1, day, 10, tzinfo=dt.timezone.utc), p, 1) for i, day, p in xs], jobs.ExactGauge.COLUMNS)
+    gauge = jobs.ExactGauge(spark, f"file://{tmp_path}/g")
+    gauge(rows(("a", 2, 1), ("b", 2, 2)), 0)
+    manifest = getattr(gauge, broken).manifest
+    publish, manifest.publish = manifest.publish, lambda *_: (_ for _ in ()).throw(OSError("killed"))
+    with pytest.raises(OSError):
+        gauge(rows(("a", 1, 1)), 1)
+    manifest.publish = publish
+    again = jobs.ExactGauge(spark, f"file://{tmp_path}/g")  # a new process
+    for _ in range(2):
+        again(rows(("a", 1, 1)), 1)
+        assert sorted((r.dt.day, r.dau) for r in again.gauge.read().collect()) == [(1, 1), (2, 1)]
 
 
 def test_late_corrector_as_a_stream_sink(spark, tmp_path):
@@ -136,8 +155,6 @@ def test_late_corrector_as_a_stream_sink(spark, tmp_path):
     at = lambda sec: (BASE + dt.timedelta(seconds=sec)).strftime("%Y-%m-%d %H:%M:%S")
     row = lambda i, sec, sink: {"event_id": i, "event_time": at(sec), "player_id": 1, "server_id": 1, "produce_ts": at(sec), "sink_ts": at(sink)}
     topic, corrector = FileTopic(str(tmp_path / "in")), LateCorrector(spark, f"file://{tmp_path}/late")
-    from pyspark.sql import types as T
-
     schema = T._parse_datatype_string("event_id string, event_time timestamp_ntz, player_id bigint, server_id int, produce_ts timestamp_ntz, sink_ts timestamp_ntz")
     for rows in ([row("a", 1, 2), row("b", 61, 62)], [row("c", 5, 300), row("a", 1, 301), row("d", 2, 5000)]):
         topic.produce(rows)
