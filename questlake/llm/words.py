@@ -26,8 +26,12 @@ def _dropped() -> re.Pattern[str]:
 def folded(text: str) -> str:
     if text.isascii():
         return text.lower()
-    # twice, since folding case can bring new marks and decomposition new capitals
-    text = unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", text).casefold()).casefold()
+    text = unicodedata.normalize("NFKD", text).casefold()
+    if text.isascii():
+        return text
+    if not unicodedata.is_normalized("NFKD", text):
+        # folding case can bring new marks, and decomposition new capitals
+        text = unicodedata.normalize("NFKD", text).casefold()
     return _dropped().sub("", text)
 
 

@@ -4,6 +4,7 @@ import math
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 
 from questlake.llm import language, leakage
@@ -70,10 +71,60 @@ def test_leaked_items_frame(spark):
     docs = spark.createDataFrame([(10, "intro " + passage.upper() + " end", "c"), (10, passage, "c"), (11, None, "c"), (12, "", "c"), (13, "x " * 200_000 + passage, "c"), (14, " ".join(passage.split()[:9]), "c")], "doc_id bigint, text string, item_id string")
     for block in (20_000, 1):
         rows = leakage.leaked_items(docs, items, block=block).collect()
-        assert sorted((r.item_id, r.doc_id, r.rule, r.matched_words) for r in rows) == [(1, 10, "run", 30), (1, 13, "run", 30)]
+        assert sorted((r.item_id, r.doc_id, r.rule, r.matched_words) for r in rows) == [(1, 10, "edit", 30), (1, 13, "edit", 30)]
     assert leakage.leaked_items(docs.limit(0), items).count() == 0 and leakage.leaked_items(docs, items.limit(0)).count() == 0
 
 
+def brute_distance(pattern, text):
+    row, best = list(range(len(pattern) + 1)), len(pattern)
+    for x in text:
+        prev, row = row, [0]
+        for j, y in enumerate(pattern):
+            row.append(min(prev[j] + (x != y), prev[j + 1] + 1, row[j] + 1))
+        best = min(best, row[-1])
+    return best
+
+
+def test_edit_distance_equals_the_table():
+    rng = random.Random(11)
+    for _ in range(60):
+        passage = [f"w{rng.randrange(6)}" for _ in range(rng.randrange(1, 90))]
+        item = Searcher([(1, " ".join(passage))]).items[0]
+        numbers = Searcher([(1, " ".join(passage))]).vocabulary
+        text = [rng.choice(passage) if rng.random() < 0.7 else "other" for _ in range(rng.randrange(0, 120))]
+        distance, end = leakage.edit_distance(item, np.array([numbers.get(x, -1) for x in text], np.int64))
+        assert distance == brute_distance(passage, text) and brute_distance(passage, text[:end]) == distance
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 8, 9, 24, 41, 102])
+def test_pairs_stand_the_worst_errors(n):
+    """Missing words that each break a pair and words between that push pairs apart: the sure number of hits is left."""
+    passage = [f"p{i}" for i in range(n)]
+    searcher = Searcher([(1, " ".join(passage))])
+    item, rng = searcher.items[0], random.Random(n)
+    for _ in range(60):
+        gone = set(rng.sample(range(0, n, 2), min(item.budget, (n + 1) // 2))) if n > 1 else set()
+        kept, spare = [w for i, w in enumerate(passage) if i not in gone], item.reach - (n - len(gone))
+        text = []
+        for w in kept:
+            text.append(w)
+            put = min(spare, rng.choice((0, leakage.GAP + 1)))
+            text += ["x"] * put
+            spare -= put
+        assert [r[0] for r in searcher.search(" ".join(["y"] * 200 + text + ["y"] * 200))] == [1], text
+
+
+def test_every_row_names_a_piece_that_stands_there(spark):
+    docs, items = table(spark, DATA, "documents"), table(spark, DATA, "eval_items")
+    texts = {r.doc_id: words(r.text) for r in docs.select("doc_id", "text").collect()}
+    passages = {r.item_id: words(r.passage) for r in items.select("item_id", "passage").collect()}
+    rows = leakage.leaked_items(docs, items).collect()
+    assert rows
+    for r in rows:
+        text, passage = texts[r.doc_id][r.text_place :], passages[r.item_id][r.piece_place : r.piece_place + r.piece_words]
+        assert text[: r.piece_words] == passage if r.piece_words > 2 else text[0] == passage[0] and passage[-1] in text[: leakage.GAP + 2]
+
+
 @pytest.fixture(scope="module")
 def samples(spark):
     return [(r.lang, r.text) for r in table(spark, DATA, "lang_samples").select("lang", "text").orderBy("sample_id").collect()]
