@@ -166,8 +166,8 @@ def merge_groups(sketches: DataFrame, keys: Sequence[str], k: int = 4096) -> Dat
 RESULT = "kind string, estimate double, lower double, upper double"
 
 
-def counts(sketches: DataFrame, keys: Sequence[str], kind: str, k: int = 4096) -> DataFrame:
-    """Keys, kind, estimate, lower, upper."""
+def counts(sketches: DataFrame, keys: Sequence[str], kind: str, k: int = 4096, deviations: float = 2.0) -> DataFrame:
+    """Keys, kind, estimate, lower, upper (bounds at so many standard deviations)."""
     kinds = dict(sketches.dtypes)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,14 +175,14 @@ def counts(sketches: DataFrame, keys: Sequence[str], kind: str, k: int = 4096) -
             fields = pa.schema([*(batch.schema.field(key) for key in keys), ("kind", pa.string()), *((c, pa.float64()) for c in ("estimate", "lower", "upper"))])
             out = []
             for row in batch.to_pylist():
-                e, lo, hi = estimate(len(row["hashes"]) // 8, row["theta"])
+                e, lo, hi = estimate(len(row["hashes"]) // 8, row["theta"], deviations)
                 out.append({key: row[key] for key in keys} | {"kind": kind, "estimate": e, "lower": lo, "upper": hi})
             yield pa.RecordBatch.from_pylist(out, schema=fields)
 
     return sketches.mapInArrow(read, ", ".join(f"{key} {kinds[key]}" for key in keys) + ", " + RESULT)
 
 
-def set_counts(pairs: DataFrame, keys: Sequence[str], k: int = 4096) -> DataFrame:
+def set_counts(pairs: DataFrame, keys: Sequence[str], k: int = 4096, deviations: float = 2.0) -> DataFrame:
     """For rows with two sketches (theta, hashes and theta2, hashes2): how many in both, in either, only in the first, only in the second."""
     kinds = dict(pairs.dtypes)
 
@@ -194,7 +194,7 @@ def set_counts(pairs: DataFrame, keys: Sequence[str], k: int = 4096) -> DataFram
                 a, b = KMinSketch.of(row, k), KMinSketch.of({"theta": row["theta2"], "hashes": row["hashes2"]}, k)
                 either = a.union(b)
                 for kind, (count, theta) in {"both": a.intersection(b), "either": (len(either.hashes), either.theta), "only_first": a.difference(b), "only_second": b.difference(a)}.items():
-                    e, lo, hi = estimate(count, theta)
+                    e, lo, hi = estimate(count, theta, deviations)
                     out.append({key: row[key] for key in keys} | {"kind": kind, "estimate": e, "lower": lo, "upper": hi})
             yield pa.RecordBatch.from_pylist(out, schema=fields)
 

@@ -70,7 +70,7 @@ class Plan:
     """Which ranks of each length go to which containers; its size depends on the capacity, not on the items."""
 
     def __init__(self, capacity: int):
-        self.capacity, self.containers, self.rows = capacity, 0, []
+        self.capacity, self.containers, self.rows, self.share = capacity, 0, [], 0.0
         self.used = np.zeros(capacity + 1, np.int64)  # ranks given out per length
 
     def emit(self, lengths: list[tuple[int, int]], repeats: int) -> None:
@@ -89,7 +89,7 @@ class Plan:
         return tuple(np.array([r[c] for r in rows], np.int64) for c in range(6))
 
 
-def plan_packing(histogram: np.ndarray, units: int = 128, most: int = 3, shares: tuple[float, ...] = (1.0, 0.8, 0.5, 0.0)) -> Plan:
+def plan_packing(histogram: np.ndarray, units: int = 128, most: int = 3, shares: tuple[float, ...] = (1.0, 0.8, 0.5)) -> Plan:
     """Plan for ``histogram[length]`` items of each length up to the capacity (its last index).
 
     1. Lengths are put into ``units`` equal classes, and all patterns of up to ``most``
@@ -103,7 +103,9 @@ def plan_packing(histogram: np.ndarray, units: int = 128, most: int = 3, shares:
        until one of them runs out.
 
     Where the residual of a full fit packs badly (few short items), running a share of
-    the fitted counts does better; the share with the fewest containers is taken.
+    the fitted counts does better; the share with the fewest containers is taken and
+    told as the plan's ``share`` (0 only where no pattern fits a container, as of a
+    single short item: then there is nothing to fit).
 
     All steps work on counts per length, so the plan takes the same time for a thousand
     items or a trillion.
@@ -126,6 +128,7 @@ def plan_packing(histogram: np.ndarray, units: int = 128, most: int = 3, shares:
     best = None
     for share in shares if fitted.any() else (0.0,):
         plan = _run(histogram, classes, patterns, np.floor(fitted * share + (0.5 if share == 1 else 0)).astype(np.int64))
+        plan.share = share
         if best is None or plan.containers < best.containers:
             best = plan
     return best
@@ -233,7 +236,7 @@ def _assign(table: tuple[np.ndarray, ...], id_name: str):
 
 
 def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size: str = "n_tokens", units: int = 128, most: int = 3, rows_per_bucket: int = 1_000_000) -> DataFrame:
-    """Containers for items of given sizes: id, piece, n_tokens, container_id, start (place in the container).
+    """Containers for items of given sizes: id, piece, n_tokens, container_id, start (place in the container), fit_share (of the fitted counts that was run, the same for all).
 
     An item longer than the capacity is cut into full containers and a remainder, which
     is packed like any item; no other item is split. Items of size 0 or null take no
@@ -273,7 +276,7 @@ def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size: str = "n
     schema = f"{id_col} {kind}, piece int, n_tokens int, container_id bigint, start int"
     out = ranked.mapInArrow(_assign(plan.table(), id_col), schema) if plan.rows else spark.createDataFrame([], schema)
     empty = pieces.where("n_tokens = 0").select(id_col, "piece", "n_tokens", F.lit(None).cast("bigint").alias("container_id"), F.lit(None).cast("int").alias("start"))
-    return out.unionByName(empty)
+    return out.unionByName(empty).withColumn("fit_share", F.lit(float(plan.share)))
 
 
 def pack_texts(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text: str = "text", path: str | None = None, **options) -> DataFrame:

@@ -1,7 +1,10 @@
-"""SQL for the queries whose results are exact where groups fit into a sketch, as they do at the size of the comparison.
+"""SQL for the training-data queries.
 
-The other training-data queries can't be told in SQL; their tests compare them with
-brute force.
+`p3_percentiles` and the `p6_` queries are exact where groups fit into a sketch, as they
+do at the size of the comparison; `p3_rank_error` and `p6_bounds` put sketches that are
+far too small for that beside exact figures, and the SQL says that the stated bounds
+hold. Packing, leakage and language can't be told in SQL: `p8_check`, `p9_planted` and
+`p10_samples` are properties that must hold, and the tests compare with brute force.
 """
 
 from __future__ import annotations
@@ -38,8 +41,17 @@ b AS (SELECT k.dt, k.server_id, x.player_id, MAX(CAST(x.dt = k.dt AS INT)) AS to
   FROM k JOIN d x ON x.server_id = k.server_id AND x.dt IN (k.dt, k.dt - 1) GROUP BY ALL)"""
 
 
+def _bounds(kind: str, dt: str, server: str, by: str) -> str:
+    return f"SELECT '{kind}' AS kind, {dt} AS dt, {server} AS server_id, COUNT(DISTINCT player_id) AS exact, TRUE AS within FROM d GROUP BY {by}"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_rank_error": f"WITH {_VALUES} SELECT metric, server_id, name AS percentile, COUNT(*) AS n, TRUE AS within FROM v, unnest([{', '.join(repr(p) for p in PERCENTILES)}]) AS u(name) WHERE value IS NOT NULL GROUP BY ALL",
+        "p6_bounds": f"WITH {_D} {_bounds('server_day', 'dt', 'server_id', 'dt, server_id')} UNION ALL {_bounds('day', 'dt', 'CAST(NULL AS INTEGER)', 'dt')} UNION ALL {_bounds('server', 'CAST(NULL AS DATE)', 'server_id', 'server_id')}",
+        "p8_check": "SELECT COUNT(DISTINCT doc_id) AS documents, CAST(0 AS BIGINT) AS split_short, CAST(0 AS BIGINT) AS wrong_pieces, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS holed FROM documents",
+        "p9_planted": "SELECT item_id, item_id AS doc_id FROM eval_items WHERE len(trim(passage)) > 0",
+        "p10_samples": "SELECT sample_id, lang AS found_lang, FALSE AS mixed FROM lang_samples WHERE lang IS NOT NULL AND len(trim(text)) > 0",
         "p3_percentiles": f"WITH {_VALUES} {_quantiles('server_day', 'dt', 'metric, server_id, dt')} UNION ALL {_quantiles('server', 'CAST(NULL AS DATE)', 'metric, server_id')}",
         "p6_distinct": f"WITH {_D}, {_PAIRS} "
         + " UNION ALL ".join(
