@@ -145,3 +145,13 @@ def duration_stats(rows: DataFrame, value: str) -> DataFrame:
     plain = known.agg(F.count("*").alias("n"), F.round(F.sum("v") / F.count("*"), 2).alias("avg_ms"), F.min("v").alias("min_ms"), F.max("v").alias("max_ms"))
     at = nearest_ranks(known, "v", {"p50_ms": F.floor(F.col("n") / 2) + 1, "p95_ms": F.ceil(F.col("n") * 0.95)})
     return plain.crossJoin(at).select("n", "avg_ms", "p50_ms", "p95_ms", "min_ms", "max_ms")  # one row each
+
+
+def clock_skew(rows: DataFrame, sender: str, sent: str, received: str) -> DataFrame:
+    """Per sender, in ms: the least, and the upper bound of how far its clock is ahead; null if it had no pair of times.
+
+    A record can't arrive before it was sent, so received - sent below zero is what the
+    sender's clock is ahead at least.
+    """
+    ms = (micros(F.col(received)) - micros(F.col(sent))) / F.lit(1000.0)
+    return rows.groupBy(sender).agg(F.count(ms).alias("pairs"), F.min(ms).alias("least_ms"), F.greatest(-F.min(ms), F.lit(0.0)).alias("ahead_ms"))

@@ -12,20 +12,20 @@ from pyspark.sql import functions as F
 
 # Relative weights of the event types in the source data.
 WEIGHTS = {
-    "login": 15,
-    "create_role": 2,
+    "login": 12,
+    "create_role": 1,
     "enter_dungeon": 18,
-    "clear_dungeon": 14,
+    "clear_dungeon": 10,
     "death": 8,
-    "equip": 10,
-    "enhance": 8,
-    "recharge": 4,
-    "gacha": 6,
-    "friend": 5,
-    "logout": 10,
+    "equip": 7,
+    "enhance": 6,
+    "recharge": 2,
+    "gacha": 5,
+    "friend": 3,
+    "logout": 12,
 }
 # Price points in fen and dungeon numbers.
-PRICES = (600, 1200, 3000, 6800, 12800, 32800, 64800)
+PRICES = (600, 3000, 6800, 9800, 19800, 32800, 64800)
 DUNGEONS = (1001, 1020)
 
 

@@ -49,7 +49,7 @@ def read_ndjson(spark: SparkSession, path: str, on_error: str = "drop") -> DataF
 
 def stream_ndjson(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None, **options: str) -> DataFrame:
     """Streaming scan of a folder of JSON-lines segments; rows that can't be parsed are dropped."""
-    reader = spark.readStream.schema(schema).options(mode="DROPMALFORMED", timestampFormat="yyyy-MM-dd HH:mm:ss[.SSS]", **options)
+    reader = spark.readStream.schema(schema).options(mode="DROPMALFORMED", timestampFormat="yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]", **options)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.json(path)

@@ -9,6 +9,9 @@ import uuid
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 class FileTopic:
     """Segments of at most ``segment_rows`` records, numbered in order of arrival."""
@@ -55,3 +58,9 @@ class FileTopic:
     def clear(self) -> None:
         shutil.rmtree(self.folder)
         self.folder.mkdir(parents=True)
+
+
+def publish(df: DataFrame, folder: str, segments: int = 3, number: int = 0) -> None:
+    """Rows as JSON lines in ``segments`` files of a folder on shared storage, written by the executors; readers see finished files only."""
+    lines = df.select(F.to_json(F.struct("*"), {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}).alias("value"))
+    lines.repartition(segments).write.mode("append" if number else "overwrite").text(folder)

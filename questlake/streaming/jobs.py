@@ -109,6 +109,7 @@ class LiveMetrics:
     def __init__(self, spark: SparkSession, folder: str, only: Sequence[str] | None = None):
         self.store = EventStore(spark, f"{folder}/kept", self.COLUMNS)
         self.tables = {name: KeyedTable(spark, f"{folder}/{name}", schema, ["dt", "server_id", *self.THIRD.get(name, [])]) for name, schema in self.TABLES.items() if only is None or name in only}
+        self.pays = only is None or "recharge" in only
         self.payers = KeyedTable(spark, f"{folder}/payers", "player_id bigint, cnt bigint, fen bigint, bucket int", ["player_id"], part="bucket")
         self.recharges = KeyedTable(spark, f"{folder}/recharge", "agg_key string, recharge_cnt bigint, recharge_sum decimal(18,2), players bigint", ["agg_key"], part="agg_key")
 
@@ -154,7 +155,7 @@ class LiveMetrics:
         fresh |= {"ads_dau_di": metrics.dau(days), "ads_pay_rate_di": metrics.pay_rate(days), "ads_arpu_di": metrics.arpu(days), "ads_online_duration_di": metrics.online_duration(days)}
         with ThreadPoolExecutor(8) as pool:  # the tables don't depend on each other
             jobs = [pool.submit(self._replace, table, fresh[name], paired) for name, table in self.tables.items()]
-            for job in [*jobs, pool.submit(self._pay, change)]:
+            for job in [*jobs, *([pool.submit(self._pay, change)] if self.pays else [])]:
                 job.result()
         for df in (days, dungeons):
             df.unpersist()

@@ -73,15 +73,15 @@ def test_late_events_replay_and_crash_change_nothing(spark, tmp_path):
 
 
 def test_late_events_let_go_of_what_is_over(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(late_events, "CLOSED", 3)
-    rows = [(f"e{h}-{i}", "login", T0 + dt.timedelta(hours=h, minutes=i), i, 1, None, T0, T0 + dt.timedelta(hours=h, minutes=i + 2), "", "") for h in range(8) for i in range(3)]
+    monkeypatch.setattr(late_events, "CLOSED", 2)
+    rows = [(f"e{h}-{i}", "login", T0 + dt.timedelta(hours=h, minutes=i), i, 1, None, T0, T0 + dt.timedelta(hours=h, minutes=i + 2), "", "") for h in range(5) for i in range(3)]
     c = late_events.LateCorrector(spark, f"file://{tmp_path}")
-    for k in range(8):
+    for k in range(5):
         c.apply(spark.createDataFrame(rows[3 * k : 3 * k + 3], LATE), k)
     state = c.manifest.load()[1]
-    assert len(state["raw"]) <= 3 and state["closed"] and len(state["figures"]) < 8
+    assert len(state["raw"]) <= 3 and state["closed"] and len(state["figures"]) < 5
     assert len(c.files.listdir("novel/batch=0")) == 0 or not c.files.listdir("novel/batch=0/kept=true")
-    assert c.figures().count() == 24 and c.figures().agg(F.sum("event_cnt")).first()[0] == 24
+    assert c.figures().count() == 15 and c.figures().agg(F.sum("event_cnt")).first()[0] == 15
 
 
 def test_late_events_empty(spark):

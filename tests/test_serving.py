@@ -89,6 +89,9 @@ ALLOWED = [
     "SELECT dt, server_id, dau, pay_users, pay_rate, metric_id FROM ads_pay_rate_di p WHERE p.dau > 0",
     "WITH x AS (SELECT dt, SUM(dau) n FROM ads.ads_dau_di GROUP BY dt) SELECT x.n, (SELECT MAX(arpu_cny) FROM ads_arpu_di) FROM x JOIN ads.ads_churn_di c ON c.dt = x.dt",
     "SELECT ads.ads_dau_di.dau FROM ads.ads_dau_di",
+    "SELECT dau FROM /* a comment */ ads.ads_dau_di -- ads.secret",
+    "SELECT 'FROM ads.secret' AS t, `ads`.`ads_dau_di`.dau FROM `ads`.`ads_dau_di` WHERE metric_id <> 'ads.ads_dau_di'",
+    "SELECT upper(metric_id), row_number() OVER (PARTITION BY server_id ORDER BY dt) FROM ads_dau_di",
 ]
 BLOCKED = [
     "SELECT not_a_real_col FROM ads.ads_dau_di",
@@ -103,6 +106,12 @@ BLOCKED = [
     "SELECT window_complete FROM ads.ads_retention_nd",
     "SELECT FROM WHERE",
     "SELECT 1; DROP TABLE ads.ads_dau_di",
+    "SELECT reflect('java.lang.System', 'exit', 0) FROM ads.ads_dau_di",
+    "SELECT java_method('java.lang.System', 'getenv', 'HOME') FROM ads.ads_dau_di",
+    "SELECT dau FROM ads.ads_dau_di WHERE dau IN (SELECT length(reflect('java.lang.System', 'lineSeparator')) FROM ads_dau_di)",
+    "SELECT dau FROM ads.ads_dau_di TABLESAMPLE (5 ROWS)",
+    "SELECT * FROM range(5)",
+    "SELECT explode(array(1)) FROM ads.ads_dau_di",
 ]
 
 
@@ -113,4 +122,25 @@ def test_reads_pass(spark, sql):
 
 @pytest.mark.parametrize("sql", BLOCKED)
 def test_others_are_blocked(spark, sql):
-    assert not guard.check(spark, sql).allowed
+    verdict = guard.check(spark, sql)
+    assert not verdict.allowed and verdict.reason.strip() and not verdict.reason.startswith(" ")
+
+
+def test_dimensions_of_a_metric(spark):
+    df = spark.createDataFrame([("2024-01-01", 1, 5), ("2024-01-02", 2, 6)], "dt string, server_id int, dau int")
+    assert [r.dau for r in guard.cut(df, "ads_dau_di", ["dt"], server_id=2).collect()] == [6]
+    for name in ("player_id", "dungeon_id"):
+        with pytest.raises(guard.UnknownDimension):
+            guard.cut(df, "ads_dau_di", [name])
+
+
+def test_a_poisoned_batch_is_skipped_and_recorded(spark, tmp_path, log):
+    table = KeyedTable(spark, f"file://{tmp_path}/t", PAY, ["dt", "server_id"])
+    waits = []
+    sink = ServingSink(table, PAY, f"file://{tmp_path}/dead", sleep=waits.append)
+    merge, table.merge = table.merge, lambda *a, **k: (_ for _ in ()).throw(TypeError("no such cast"))
+    sink(log(record("2024-01-01", 1, 1)), 0)
+    table.merge = merge
+    sink(log(record("2024-01-02", 1, 2)), 1)
+    assert waits == [] and sink.counters["poisoned"] == 1 and state(table) == [("2024-01-02", 1, 4)]
+    assert [r.error for r in spark.read.json(f"file://{tmp_path}/dead/poison=0").collect()] == ["TypeError: no such cast"]
