@@ -56,17 +56,9 @@ class LateCorrector:
         self.manifest = Manifest(self.files)
 
     def _read(self, schema: str, paths: list[str]) -> DataFrame:
-        """Parts by path: each folder that holds some of them is one scan, pruned to these parts."""
-        folders: dict[str, list[str]] = {}
-        for p in paths:
-            folder, _, part = p.rpartition("/part=")
-            folders.setdefault(folder, []).append(part)
-        out = None
-        for folder, parts in sorted(folders.items()):
-            at = f"{self.folder}/{folder}"
-            one = self.spark.read.schema(schema).option("basePath", at).parquet(at).where(F.col("part").isin(parts))
-            out = one if out is None else out.unionByName(one)
-        return out if out is not None else self.spark.createDataFrame([], schema)
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", self.folder).parquet(*(f"{self.folder}/{p}" for p in paths))
 
     def _write(self, df: DataFrame, name: str, *by: str) -> None:
         df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(f"{self.folder}/{name}")
