@@ -13,7 +13,7 @@ from questlake.operators import features, id_index, late_events, layers, metrics
 from questlake.schema import FEATURE_TYPES
 from questlake.sources import ods as sources
 from questlake.sources.generator import generate_events
-from questlake.workspace import new_folder
+from questlake.workspace import materialise, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,8 +61,14 @@ def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     return reports.latest_by_key(log.select("player_id", "server_id", "event_type", "event_time", "kafka_partition", "kafka_offset", "batch_id"), ["player_id", "server_id"], ["batch_id", "kafka_partition", "kafka_offset"])
 
 
+def _kept(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
+    """A table that several metrics read, written once."""
+    return materialise(df, new_folder(spark, name))
+
+
 def ads_row_counts(spark: SparkSession, d: str) -> DataFrame:
-    return reports.row_counts(metrics.all_metrics(player_day(spark, d), dungeon_day(spark, d)))
+    clean = _kept(spark, "dwd", dwd(spark, d))
+    return reports.row_counts(metrics.all_metrics(_kept(spark, "days", layers.player_day(clean)), _kept(spark, "dungeons", layers.dungeon_day(clean))))
 
 
 def row_stream_lag(spark: SparkSession, d: str) -> DataFrame:
@@ -173,10 +179,10 @@ def queries() -> dict[str, Query]:
         "ads_retention_nd": lambda s, d: metrics.retention(presence(s, d)),
         "ads_churn_di": lambda s, d: metrics.churn(presence(s, d)),
         "summary_dau_by_day": lambda s, d: reports.dau_by_day(metrics.dau(presence(s, d))),
-        "summary_pay_arpu": lambda s, d: (lambda p: reports.pay_arpu(metrics.pay_rate(p), metrics.arpu(p)))(player_day(s, d)),
+        "summary_pay_arpu": lambda s, d: (lambda p: reports.pay_arpu(metrics.pay_rate(p), metrics.arpu(p)))(_kept(s, "days", player_day(s, d))),
         "ads_row_counts": ads_row_counts,
         "serving_dau_lookup": lambda s, d: reports.dau_lookup(metrics.dau(presence(s, d))),
-        "serving_ads_row": lambda s, d: (lambda p: reports.serving_row(metrics.dau(p), metrics.pay_rate(p)))(player_day(s, d)),
+        "serving_ads_row": lambda s, d: (lambda p: reports.serving_row(metrics.dau(p), metrics.pay_rate(p)))(_kept(s, "days", player_day(s, d))),
         "bounded_dau": lambda s, d: reports.bounded_dau(layers.valid_events(ods(s, d))),
         "event_pay_rate": lambda s, d: reports.event_pay_rate(layers.valid_events(ods(s, d))),
         "window_1m_distinct": lambda s, d: reports.minute_windows(sources.table(s, d, "kafka_g3_events").where("event_id IS NOT NULL AND player_id IS NOT NULL AND event_time IS NOT NULL")),
