@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from questlake.operators import guard, metrics, reports
-from questlake.operators.keyed_table import KeyedTable, ServingSink, write_jdbc
+from questlake.operators.keyed_table import KeyedTable, ServingSink, read_jdbc_on_driver, write_jdbc
 from questlake.plans import core, core_sql, pipeline
 from questlake.schema import ALLOWED_DIMS, METRICS, PROMOTED
 from questlake.sources import ods as sources
@@ -64,13 +66,15 @@ def serving_dead_letters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def jdbc_dau(spark: SparkSession, d: str) -> DataFrame:
-    """DAU written to a database and read back: an embedded one, which only a local master shares with its executors."""
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("the embedded database needs a local master; give write_jdbc a server's URL on a cluster")
-    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
-    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    write_jdbc(metrics.dau(core.presence(spark, d)).where("server_id IS NOT NULL"), url, "ads_dau_di", driver)
-    back = spark.read.jdbc(url, "ads_dau_di", properties=driver)
+    """DAU written to a database and read back: one embedded in the driver, so that the same is done on any master."""
+    name = f"jdbc:derby:memory:{uuid.uuid4().hex}"
+    url, driver = f"{name};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    try:
+        write_jdbc(metrics.dau(core.presence(spark, d)).where("server_id IS NOT NULL"), url, "ads_dau_di", driver, on_driver=True)
+        back = read_jdbc_on_driver(spark, url, "ads_dau_di", new_folder(spark, "jdbc"), driver)
+    finally:
+        with contextlib.suppress(Py4JJavaError):  # a drop is told by an error too
+            spark._jvm.java.sql.DriverManager.getConnection(f"{name};drop=true")
     return back.toDF(*(c.lower() for c in back.columns))
 
 

@@ -1,11 +1,18 @@
 """Keyed serving tables, change records and the read-only contract."""
 
 import json
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from questlake.operators import guard
-from questlake.operators.keyed_table import KeyedTable, ServingSink, decode_changes, with_backoff
+from questlake.operators.keyed_table import KeyedTable, ServingSink, decode_changes, read_jdbc_on_driver, with_backoff, write_jdbc
+
+ROOT = Path(__file__).resolve().parent.parent
 
 PAY = "dt date, server_id int, dau bigint, pay_users bigint, pay_rate double, metric_id string"
 
@@ -144,3 +151,47 @@ def test_a_poisoned_batch_is_skipped_and_recorded(spark, tmp_path, log):
     sink(log(record("2024-01-02", 1, 2)), 1)
     assert waits == [] and sink.counters["poisoned"] == 1 and state(table) == [("2024-01-02", 1, 4)]
     assert [r.error for r in spark.read.json(f"file://{tmp_path}/dead/poison=0").collect()] == ["TypeError: no such cast"]
+
+
+DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+
+@pytest.mark.parametrize("on_driver", [False, True])
+def test_jdbc_both_ways(spark, tmp_path, on_driver):
+    rows = spark.range(0, 107, 1, 3).selectExpr("date_add(date'2024-02-28', cast(id % 3 as int)) AS day", "cast(id AS int) AS n", "if(id % 7 = 0, NULL, concat('x', id)) AS s", "timestamp_ntz'2024-03-01 02:30:01.123456' AS at", "id / 3 AS x")
+    url = f"jdbc:derby:memory:both{on_driver};create=true"
+    write = lambda df, mode: write_jdbc(df, url, "t", DERBY, flush_rows=10, mode=mode, on_driver=on_driver, attempts=1)
+    read = lambda k: read_jdbc_on_driver(spark, url, "t", f"file://{tmp_path}/{k}", DERBY, rows=25).withColumn("at", F.col("at").cast("timestamp_ntz"))
+    write(rows, "append")
+    assert sorted(read(1).collect(), key=lambda r: r.n) == rows.collect()
+    write(rows.where("n < 4"), "append")
+    assert read(2).count() == 111
+    write(rows.where("n < 0"), "overwrite")
+    assert read(3).count() == 0
+
+
+def test_jdbc_on_driver_leaves_nothing_of_a_failed_write(spark, tmp_path):
+    url = "jdbc:derby:memory:failed;create=true"
+    rows = spark.range(0, 40, 1, 2).selectExpr("id", "if(id = 39, raise_error('lost'), 1L) AS v")
+    with pytest.raises(Exception, match="lost"):
+        write_jdbc(rows, url, "t", DERBY, flush_rows=5, on_driver=True, attempts=2, sleep=lambda s: None)
+    assert read_jdbc_on_driver(spark, url, "t", f"file://{tmp_path}/t", DERBY).count() == 0
+
+
+CLUSTER = """
+import sys
+from pyspark.sql import SparkSession
+conf = {"spark.master": "local-cluster[2,1,1024]", "spark.executor.memory": "600m", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.sql.session.timeZone": "UTC", "spark.checkpoint.dir": f"file://{sys.argv[1]}", "spark.sql.shuffle.partitions": "2"}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+import __spark_entry__ as e
+for name in ("jdbc_dau", "ads_dau_di"):
+    rows = e.queries()[name](spark, "/root/testdata/sf0.001").where("server_id IS NOT NULL").select("dt", "server_id", "dau", "metric_id").collect()
+    print("ROWS", name, sorted(map(str, rows)), flush=True)
+"""
+
+
+def test_jdbc_query_on_a_cluster(tmp_path):
+    run = subprocess.run([sys.executable, "-c", CLUSTER, str(tmp_path)], capture_output=True, text=True, timeout=600, cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(ROOT)})
+    found = dict(line.split(" ", 2)[1:] for line in run.stdout.splitlines() if line.startswith("ROWS "))
+    assert "jdbc_dau" in found, run.stderr[-2000:]
+    assert found["jdbc_dau"] == found["ads_dau_di"] != "[]"
